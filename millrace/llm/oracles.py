@@ -114,4 +114,27 @@ SELECT p.page_id, p.host, p.path, r.rule, coalesce(r.verdict, CASE WHEN mean - 1
 FROM parsed p JOIN means m ON p.host = m.host LEFT JOIN ruled r ON p.page_id = r.page_id
 """
 
-ORACLE_SQL = {"op1_mixing": OP1, "op3_quality": OP3, "op8_url_filter": OP8}
+OP5 = r"""
+WITH words AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+each AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM words),
+windows AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS w FROM each),
+firsts AS (SELECT w, min(doc_id) AS first_doc FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM windows JOIN firsts USING (w) WHERE first_doc < doc_id),
+holes AS (SELECT doc_id, list(pos) AS ats FROM gone GROUP BY doc_id),
+kept AS (SELECT doc_id, words, CASE WHEN ats IS NULL THEN words ELSE list_filter(words, lambda w, i: NOT list_contains(ats, i)) END AS left_words
+  FROM words LEFT JOIN holes USING (doc_id))
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - len(left_words))::BIGINT AS n_removed, sha256(array_to_string(left_words, ' ')) AS kept_sha256 FROM kept
+"""
+
+OP10 = r"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+shingles AS (SELECT DISTINCT doc_id, hash(array_to_string(words[i:i + 4], ' ')) AS h FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 3))) AS i FROM words WHERE len(words) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b USING (h) JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(x.n) + any_value(y.n) - count(*))),
+reach AS (SELECT a AS doc_id, a AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+parts AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, doc_id)::BIGINT AS component_id FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN parts USING (doc_id)
+"""
+
+ORACLE_SQL = {"op10_jaccard_join": OP10, "op5_substring_dedup": OP5, "op1_mixing": OP1, "op3_quality": OP3, "op8_url_filter": OP8}

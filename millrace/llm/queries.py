@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, url_filter
+from . import jaccard_join, mixing, packing, quality, substring_dedup, token_counts, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,8 +63,42 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=75)
+
+
+PACK_CAPACITY, PACK_END_ID = 1024, 2
+
+
+def pack_tokenizer() -> packing.ByteBpe:
+    """The vocabulary of ``byte_bpe_50k.json`` in rank form, with its one special token."""
+    import public_tokenizers
+
+    return packing.ByteBpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, pack_tokenizer, capacity=PACK_CAPACITY, end_id=PACK_END_ID)
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
+    "op2_token_counts": op2_token_counts,
     "op3_quality": op3_quality,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_packing": op6_packing,
     "op8_url_filter": op8_url_filter,
+    "op10_jaccard_join": op10_jaccard_join,
 }
