@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, mixing, packing, quality, substring_dedup, token_counts, url_filter
+from . import hilbert_ann, html_text, jaccard_join, mixing, packing, quality, substring_dedup, token_counts, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,12 +93,35 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, pack_tokenizer, capacity=PACK_CAPACITY, end_id=PACK_END_ID)
 
 
+TOXIC_AT = 0.3
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are learnt from three quarters of the ids; the held-out quarter is only scored."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    network = toxicity.train(*toxicity.training_sample(docs, labels, ~held_out))
+    return toxicity.score(docs, network, TOXIC_AT).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op7_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_token_counts": op2_token_counts,
     "op3_quality": op3_quality,
+    "op4_toxicity": op4_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_packing": op6_packing,
+    "op7_hilbert_ann": op7_hilbert_ann,
     "op8_url_filter": op8_url_filter,
+    "op9_html_text": op9_html_text,
     "op10_jaccard_join": op10_jaccard_join,
 }

@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 TRAIN_POSITIVE, TRAIN_NEGATIVE = 700, 1500
 VOCABULARY, TRIGRAMS = 4000, 4096
 WORD, CHAR, HIDDEN, ATTENTION = 8, 8, 8, 8
-WINDOW, STRIDE = 32, 16
+WINDOW, STRIDE = 32, 24
 CACHE_WORDS, BATCH = 400_000, 4096
+STEPS = 100  # batches of training in each round, at least
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -39,10 +40,13 @@ def words_of(text: str | None) -> list[str]:
     return _LETTERS.findall(text.lower()) if text else []
 
 
-def trigrams(word: str) -> list[int]:
-    """Buckets of the word's character trigrams, edges marked."""
-    codes = [2, *map(ord, word[:40]), 3]
-    return [(a * 961 + b * 31 + c) * 2654435761 % 4294967296 % TRIGRAMS for a, b, c in zip(codes, codes[1:], codes[2:])]
+def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words' character trigrams, edges marked, and how many each word has."""
+    cut = [w[:40] for w in words]
+    codes = np.frombuffer(("\x02" + "\x03\x02".join(cut) + "\x03").encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    a, b, c = codes[:-2], codes[1:-1], codes[2:]
+    flat = ((a * 961 + b * 31 + c) * 2654435761 % 4294967296 % TRIGRAMS)[(a != 3) & (b != 3)]
+    return flat.astype(np.int64), np.array([len(w) for w in cut], dtype=np.int64)
 
 
 def window_starts(n: int) -> range | list[int]:
@@ -54,7 +58,7 @@ def window_starts(n: int) -> range | list[int]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
 @dataclass
@@ -80,9 +84,7 @@ class Network:
     def inputs(self, words: list[str]) -> tuple[np.ndarray, tuple]:
         """Input vectors of distinct words, and what their gradient needs."""
         rows = np.array([self.vocabulary.get(w, 0) for w in words], dtype=np.int64)
-        grams = [trigrams(w) for w in words]
-        sizes = np.array([len(g) for g in grams], dtype=np.int64)
-        flat = np.array([x for g in grams for x in g], dtype=np.int64)
+        flat, sizes = trigrams(words)
         chars = np.add.reduceat(self.p["chars"][flat], np.cumsum(sizes) - sizes) / sizes[:, None] if len(words) else np.zeros((0, CHAR), np.float32)
         return np.concatenate([self.p["words"][rows], chars.astype(np.float32)], axis=1), (rows, flat, sizes)
 
@@ -159,44 +161,74 @@ class Network:
         return np.full(len(logit), self.prior) if self.prior is not None else _sigmoid(self.scale * logit + self.shift)
 
 
+class _Index(dict):
+    """Row of a word, from 1 in order of appearance."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = row = len(self) + 1
+        return row
+
+
 class Reader:
-    """Document logits of one network, with a bounded cache of words."""
+    """Window and document logits of one network, with a bounded cache of words."""
 
     def __init__(self, network: Network):
         self.network = network
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.fresh: list[str] = []
-        self.tables = [self.network.project(np.zeros((1, WORD + CHAR), np.float32))]
+        self.index = _Index()
+        self.table = self.network.project(np.zeros((1, WORD + CHAR), np.float32))
 
     def ids(self, words: list[str]) -> np.ndarray:
-        index, fresh = self.index, self.fresh
-        for w in set(words).difference(index):
-            index[w] = len(index) + 1
-            fresh.append(w)
-        return np.fromiter(map(index.__getitem__, words), dtype=np.int32, count=len(words))
+        return np.fromiter(map(self.index.__getitem__, words), dtype=np.int32, count=len(words))
+
+    def windows(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, start, logit) of every window of texts given as word rows."""
+        if len(self.index) >= len(self.table):
+            fresh = list(self.index)[len(self.table) - 1 :]
+            self.table = np.concatenate([self.table, self.network.project(self.network.inputs(fresh)[0])])
+        owners, places, rows, lengths = [], [], [], []
+        for i, ids in enumerate(texts):
+            starts = window_starts(len(ids))
+            owners += [i] * len(starts)
+            places += starts
+            if len(ids) <= WINDOW:
+                rows.append(np.pad(ids, (0, WINDOW - len(ids)))[None, :])
+                lengths.append(len(ids))
+            else:
+                rows.append(np.lib.stride_tricks.sliding_window_view(ids, WINDOW)[np.asarray(starts)])
+                lengths += [WINDOW] * len(starts)
+        ids, sizes = np.concatenate(rows), np.array(lengths)
+        logits = [self.network.run(self.table, ids[at : at + BATCH], sizes[at : at + BATCH]) for at in range(0, len(ids), BATCH)]
+        return np.array(owners), np.array(places), np.concatenate(logits)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """The highest window logit of each text."""
         out = np.full(len(texts), -np.inf, dtype=np.float64)
-        held: list[tuple[int, np.ndarray]] = []
-        windows = 0
+        held: list[np.ndarray] = []
+        owners: list[int] = []
+
+        def run() -> None:
+            if held:
+                at, _, logit = self.windows(held)
+                np.maximum.at(out, np.array(owners)[at], logit)
+                held.clear(), owners.clear()
+
+        size = 0
         for i, text in enumerate(texts):
             ids = self.ids(words_of(text))
-            # a long text's windows may fill several batches
-            for piece in self.pieces(ids):
-                held.append((i, piece))
-                windows += len(window_starts(len(piece)))
-                if windows >= BATCH:
-                    self._run(held, out)
-                    held, windows = [], 0
+            for piece in self.pieces(ids):  # a long text's windows may fill several batches
+                held.append(piece)
+                owners.append(i)
+                size += len(piece) // STRIDE + 1
+                if size >= BATCH:
+                    run()
+                    size = 0
             if len(self.index) > CACHE_WORDS:
-                self._run(held, out)
-                held, windows = [], 0
+                run()
                 self.forget()
-        self._run(held, out)
+        run()
         return out
 
     @staticmethod
@@ -209,31 +241,8 @@ class Reader:
             at += step
         yield ids[at:]
 
-    def _run(self, held: list[tuple[int, np.ndarray]], out: np.ndarray) -> None:
-        if not held:
-            return
-        if self.fresh:
-            self.tables.append(self.network.project(self.network.inputs(self.fresh)[0]))
-            self.fresh.clear()
-        if len(self.tables) > 1:
-            self.tables = [np.concatenate(self.tables)]
-        owners, rows, lengths = [], [], []
-        for i, ids in held:
-            starts = window_starts(len(ids))
-            owners += [i] * len(starts)
-            if len(ids) <= WINDOW:
-                rows.append(np.pad(ids, (0, WINDOW - len(ids)))[None, :])
-                lengths.append(len(ids))
-            else:
-                rows.append(np.lib.stride_tricks.sliding_window_view(ids, WINDOW)[np.asarray(starts)])
-                lengths += [WINDOW] * len(starts)
-        ids, lengths = np.concatenate(rows), np.array(lengths)
-        for at in range(0, len(ids), BATCH):
-            logit = self.network.run(self.tables[0], ids[at : at + BATCH], lengths[at : at + BATCH])
-            np.maximum.at(out, owners[at : at + BATCH], logit)
 
-
-def train(texts: list[str | None], labels: list[int], *, seed: int = 5, rounds: int = 4, epochs: int = 3, rate: float = 0.02) -> Network:
+def train(texts: list[str | None], labels: list[int], *, seed: int = 5, rounds: int = 3, epochs: int = 3, rate: float = 0.02) -> Network:
     """A network from labelled texts; the same input gives the same network."""
     y = np.array(labels, dtype=np.float32)
     if len(y) == 0 or y.min() == y.max():
@@ -254,23 +263,15 @@ def train(texts: list[str | None], labels: list[int], *, seed: int = 5, rounds:
         # each document gives its most telling window, negatives more of them, and a random one
         chosen: list[tuple[list[str], int]] = []
         reader = Reader(net)
-        for words, label in zip(docs, labels, strict=True):
-            starts = window_starts(len(words))
-            if turn == 0:
-                told = [sum(sorted((lean[w] for w in words[s : s + WINDOW]), reverse=True)[:1]) for s in starts]
-            else:
-                ids, told = reader.ids(words), []
-                reader._run([], np.zeros(0))
-                if reader.fresh:
-                    reader.tables.append(net.project(net.inputs(reader.fresh)[0]))
-                    reader.fresh.clear()
-                    reader.tables = [np.concatenate(reader.tables)]
-                rows = np.pad(ids, (0, max(0, WINDOW - len(ids))))
-                told = net.run(reader.tables[0], np.lib.stride_tricks.sliding_window_view(rows, WINDOW)[np.asarray(starts)], np.minimum(WINDOW, np.full(len(starts), len(ids))))
+        owner, place, logit = reader.windows([reader.ids(words) for words in docs])
+        first = np.searchsorted(owner, np.arange(len(docs) + 1))
+        for i, (words, label) in enumerate(zip(docs, labels, strict=True)):
+            starts = place[first[i] : first[i + 1]].tolist()
+            told = logit[first[i] : first[i + 1]] if turn else [max([lean[w] for w in words[s : s + WINDOW]], default=0.0) for s in starts]
             top = np.argsort(told)[::-1][: 1 if label else 2]
-            for s in {*(starts[i] for i in top), *((starts[rng.integers(len(starts))],) if not label else ())}:
+            for s in {*(starts[j] for j in top), *((starts[rng.integers(len(starts))],) if not label else ())}:
                 chosen.append((words[s : s + WINDOW], label))
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-STEPS * 128 // len(chosen)))):
             order = rng.permutation(len(chosen))
             for at in range(0, len(order), 128):
                 batch = [chosen[i] for i in order[at : at + 128]]
