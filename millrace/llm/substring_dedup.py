@@ -6,12 +6,13 @@ smaller id; windows are judged on the input as it stands.
 Anchors by difference cover: with ``D`` a difference cover modulo ``P``, any two places i and j have an offset
 d < P for which both i + d and j + d fall in ``D`` modulo ``P``. So two equal windows of ``span`` words share
 an anchor, a window of ``span - P + 1`` words at such a place, and it is enough to hash anchors at the places in
-``D``: 6 of every 31. Three steps, none of which pairs documents:
+``D``: 6 of every 31. Four steps, none of which pairs documents:
 
-1. Anchors are counted by hash (a document counts once); those of one document only are dropped.
-2. Documents with shared anchors extend them: every window of ``span`` words with a shared anchor among its
-   first ``P`` places is hashed to 128 bits, and the smallest document id of each hash is found.
-3. A document's windows with a smaller document elsewhere are marked, and the words they cover removed.
+1. Documents that repeat a smaller one word for word lose all their words at once and take no further part.
+2. Anchors are counted by hash (a document counts once); those counted once are dropped.
+3. Documents with shared anchors extend them: every window of ``span`` words with a shared anchor among its
+   first ``P`` places is hashed to 96 bits, and the smallest document id of each hash is found.
+4. A document's windows with a smaller document elsewhere are marked, and the words they cover removed.
 
 Anchors and windows are distinct within a document and pre-aggregated before each shuffle, so a passage in
 a third of all documents is a count, not a group; the joins back are plain and split by adaptive execution.
@@ -30,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordhash import Hasher, Slice, slices, unique_pairs
+from .common import settle
+from .wordhash import Hasher, Slice, U, slices, unique_pairs
 
 SPAN = 50
 #: A perfect difference cover: every residue modulo 31 is a difference of two of these.
@@ -65,20 +67,30 @@ def anchors(docs: DataFrame, span: int = SPAN) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(hashed, "anchor long, doc_id long")
 
 
-def shared(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys of ``pairs(*keys, doc_id)`` that more than one document holds, with the smallest of them."""
-    return (
-        pairs.groupBy(*keys)
-        .agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_last"))
-        .where("first_doc < _last")
-        .select(*keys, "first_doc")
-    )
+def sequences(docs: DataFrame) -> DataFrame:
+    """``(doc_id, n, s1, s2)``: how many words, and two hashes of their sequence."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column("text")):
+                sums = [x.whole(x.words(part.data, part.starts, part.ends), part.bounds).view(np.int64) for x in HASHERS]
+                columns = [batch.column("doc_id").slice(part.first, part.n), pa.array(part.counts.astype(np.int64)), *map(pa.array, sums)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2"])
+
+    return docs.select("doc_id", "text").mapInArrow(hashed, "doc_id long, n long, s1 long, s2 long")
+
+
+def copies(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """``doc_id`` of documents of at least ``span`` words that repeat a smaller one word for word."""
+    known = settle(sequences(docs).where(F.col("n") >= span))
+    firsts = known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_last")).where("first_doc < _last")
+    return known.join(firsts.drop("_last"), ["n", "s1", "s2"]).where("doc_id > first_doc").select("doc_id").distinct()
 
 
 def _windows(part: Slice, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both hashes of every window of a slice and which of them lie within one text."""
-    h = [x.windows(x.words(part.data, part.starts, part.ends), span).view(np.int64) for x in HASHERS]
-    return h[0], h[1], part.inside(span)
+    """Hashes of every window of a slice, of 64 and 32 bits, and which windows lie within one text."""
+    h = [x.windows(x.words(part.data, part.starts, part.ends), span) for x in HASHERS]
+    return h[0].view(np.int64), (h[1] >> U(32)).astype(np.uint32).view(np.int32), part.inside(span)
 
 
 def windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
@@ -108,7 +120,7 @@ def windows(docs: DataFrame, span: int = SPAN) -> DataFrame:
                 chosen, text = chosen[new], text[new]
                 yield pa.RecordBatch.from_arrays([pa.array(w1[chosen]), pa.array(w2[chosen]), pa.array(ids[part.first + text])], ["w1", "w2", "doc_id"])
 
-    return docs.select("doc_id", "text", "anchors").mapInArrow(hashed, "w1 long, w2 long, doc_id long")
+    return docs.select("doc_id", "text", "anchors").mapInArrow(hashed, "w1 long, w2 int, doc_id long")
 
 
 def _member(owner: np.ndarray, key: np.ndarray, set_owner: np.ndarray, set_key: np.ndarray) -> np.ndarray:
@@ -128,7 +140,7 @@ def _member(owner: np.ndarray, key: np.ndarray, set_owner: np.ndarray, set_key:
 
 
 def removed_words(docs: DataFrame, span: int = SPAN, with_text: bool = True) -> DataFrame:
-    """``docs(doc_id, text, repeats)`` to ``(doc_id, n_words, n_removed, kept_sha256[, kept])``.
+    """``docs(doc_id, text, repeats, is_copy)`` to ``(doc_id, n_words, n_removed, kept_sha256[, kept])``.
 
     ``repeats`` lists the first hash of the document's windows that an earlier document holds.
     """
@@ -136,7 +148,7 @@ def removed_words(docs: DataFrame, span: int = SPAN, with_text: bool = True) ->
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lists = batch.column("doc_id"), batch.column("repeats")
+            ids, lists, whole = batch.column("doc_id"), batch.column("repeats"), batch.column("is_copy")
             for part in slices(batch.column("text")):
                 known = lists.slice(part.first, part.n)
                 cover = np.zeros(int(part.bounds[-1]) + 1, dtype=np.int64)
@@ -147,7 +159,8 @@ def removed_words(docs: DataFrame, span: int = SPAN, with_text: bool = True) ->
                     hit = at[_member(part.text_of_word()[at], w1[at], np.repeat(np.arange(part.n), sizes), known.flatten().to_numpy(zero_copy_only=False))]
                     np.add.at(cover, hit, 1)
                     np.add.at(cover, hit + span, -1)
-                gone = np.cumsum(cover)[:-1] > 0
+                copy = np.array([bool(x.as_py()) for x in whole.slice(part.first, part.n)])
+                gone = (np.cumsum(cover)[:-1] > 0) | np.repeat(copy, part.counts)
                 so_far = np.concatenate([[0], np.cumsum(gone)])
                 removed = so_far[part.bounds[1:]] - so_far[part.bounds[:-1]]
                 rows = []
@@ -167,17 +180,21 @@ def removed_words(docs: DataFrame, span: int = SPAN, with_text: bool = True) ->
                     names.append("kept")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("doc_id", "text", "repeats").mapInArrow(cleaned, schema)
+    return docs.select("doc_id", "text", "repeats", "is_copy").mapInArrow(cleaned, schema)
 
 
 def remove_repeats(docs: DataFrame, *, span: int = SPAN, with_text: bool = False) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256[, kept])`` for each row of ``docs(doc_id, text)``."""
     none = F.lit((1 << 63) - 1)
     docs = docs.select(F.coalesce("doc_id", none).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    gone = settle(copies(docs, span))
     found = anchors(docs, span)
-    per_doc = found.join(shared(found, ["anchor"]).select("anchor"), "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    common = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    per_doc = found.join(common, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")).join(gone, "doc_id", "left_anti")
     around = windows(docs.join(per_doc, "doc_id"), span)
-    later = around.join(shared(around, ["w1", "w2"]), ["w1", "w2"]).where("doc_id > first_doc")
-    repeats = later.groupBy("doc_id").agg(F.collect_list("w1").alias("repeats"))
+    firsts = around.groupBy("w1", "w2").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    later = around.join(firsts, ["w1", "w2"]).where("doc_id > first_doc")
+    repeats = later.groupBy("doc_id").agg(F.collect_list("w1").alias("repeats")).withColumn("is_copy", F.lit(False))
+    repeats = repeats.unionByName(gone.select("doc_id", F.array().cast("array<long>").alias("repeats"), F.lit(True).alias("is_copy")))
     out = removed_words(docs.join(repeats, "doc_id", "left"), span, with_text)
     return out.withColumn("doc_id", F.nullif("doc_id", none))

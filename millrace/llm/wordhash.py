@@ -76,6 +76,13 @@ class Hasher:
         np.cumsum(words * up[:n], out=sums[1:])
         return _mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
 
+    def whole(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Hash of the word sequence of each text."""
+        up, down = self.by_word.get(len(words) + 1)
+        sums = np.zeros(len(words) + 1, dtype=U)
+        np.cumsum(words * up[: len(words)], out=sums[1:])
+        return _mix((sums[bounds[1:]] - sums[bounds[:-1]]) * down[bounds[:-1]] + np.diff(bounds).astype(U))
+
 
 class Slice:
     """Consecutive rows of a batch: ``words`` of text ``d`` are at ``bounds[d]:bounds[d + 1]``."""
