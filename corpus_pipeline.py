@@ -1,4 +1,9 @@
-"""A corpus pipeline over ``documents``: each stage's result is written and read again by the next."""
+"""A corpus pipeline over ``documents``: each stage's result is written and read again by the next.
+
+Stages take whatever their predecessor kept, change or drop rows, and return the columns of documents; the last
+returns the packed pieces. Other columns go along, whatever their names. Null, empty and repeated rows are
+handled as the operators say; see their docstrings.
+"""
 
 from __future__ import annotations
 
@@ -7,19 +12,67 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import quality
+from millrace.llm import jaccard_join, mixing, packing, quality, substring_dedup
 from millrace.llm.common import settle, table
+from millrace.llm.queries import MIX_LEVELS, MIX_SEED, PACK_CAPACITY, PACK_END_ID, mix_weights, pack_tokenizer, with_domain
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Mixing takes each document at most once here; this share of the tokens stays.
+KEEP_SHARE, ONCE = 0.9, 1
+
+
+def _only(docs: DataFrame, ids: DataFrame, *more: str) -> DataFrame:
+    """Rows of ``docs`` whose id is in ``ids``; a null id counts as an id. ``more``: SQL over rows that must agree, too."""
+    ids = ids.select(F.col("doc_id").alias("_kept_0"), *[F.col(f"_kept_{k}") for k in range(1, len(more) + 1)]).distinct()
+    on = docs["doc_id"].eqNullSafe(F.col("_kept_0"))
+    for k, sql in enumerate(more, 1):
+        on = on & F.expr(sql).eqNullSafe(F.col(f"_kept_{k}"))
+    return docs.join(ids, on, "left_semi")
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weak-supervision verdict keeps."""
-    return quality.judge(docs, keep=docs.columns).where(F.col("kept")).select(docs.columns)
+    """Documents that the weak-supervision verdict keeps; rows that share an id are told apart by their text."""
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_kept_1"))
+    return _only(docs, quality.judge(rows, keep=("doc_id", "_kept_1")).where("kept"), "xxhash64(text)")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest document of each group that n-gram Jaccard links join."""
+    linked = jaccard_join.link(docs.select("doc_id", "text"), percent=75)
+    return _only(docs, linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that an earlier document holds; a text that loses all its words goes."""
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]
+    rows = docs.select("doc_id", "text", F.struct(*others).alias("_row"))
+    clean = substring_dedup.remove_repeats(rows, carry="_row").where("n_removed = 0 OR n_removed < n_words")
+    size = F.length("kept").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    new = {"text": F.col("kept"), "n_chars": size}
+    return clean.select(*[new[c].alias(c) if c in new else F.col("_row")[c].alias(c) for c in docs.columns])
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents within their group's share of the token budget."""
+    sized = with_domain(docs.select("doc_id", "text", "lang", "source"))
+    sized = sized.select("doc_id", *MIX_LEVELS, mixing.byte_tokens(F.col("text")).alias("n_tokens"))
+    return _only(docs, mixing.mix(sized, MIX_LEVELS, mix_weights(), share=KEEP_SHARE, max_epochs=ONCE, seed=MIX_SEED))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs.select("doc_id", "text"), pack_tokenizer, capacity=PACK_CAPACITY, end_id=PACK_END_ID)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality rules", quality_rules)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("mixing sources to target weights", mixed_sources),
+    ("best-fit packing", packed),
+]
 
+#: Token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
 

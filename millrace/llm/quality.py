@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, words_of
+from .common import SPACE, settle, words_of
 
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -157,9 +157,12 @@ def posterior(votes: Column, rates: tuple[float, list[float], list[float]]) -> C
 
 
 def judge(docs: DataFrame, *, keep: Sequence[str] = ("doc_id",), rules: Sequence[Rule] = RULES, keep_at: float = 0.5) -> DataFrame:
-    """``keep`` columns, the features, ``base_failed``, ``p_good`` and ``kept`` of each row of ``docs``."""
+    """``keep`` columns, the features, ``base_failed``, ``p_good`` and ``kept`` of each row of ``docs``.
+
+    Features are made once and cut off by a checkpoint, so ``keep`` should be small columns, without the text.
+    """
     votes = F.array(*[r.vote() for r in rules])
-    rates = estimate(features(docs, keep=()).select(votes.alias("votes")), rules)
-    rows = features(docs, keep=keep).withColumn("_votes", votes)
+    rows = settle(features(docs, keep=keep)).withColumn("_votes", votes)
+    rates = estimate(rows.select(F.col("_votes").alias("votes")), rules)
     rows = rows.withColumns({"p_good": posterior(F.col("_votes"), rates), "base_failed": base_failed()})
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= keep_at)).drop("_votes")

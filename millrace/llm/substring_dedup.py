@@ -139,12 +139,15 @@ def _member(owner: np.ndarray, key: np.ndarray, set_owner: np.ndarray, set_key:
     return listed[group[len(set_key) :]]
 
 
-def removed_words(docs: DataFrame, span: int = SPAN, with_text: bool = True) -> DataFrame:
-    """``docs(doc_id, text, repeats, is_copy)`` to ``(doc_id, n_words, n_removed, kept_sha256[, kept])``.
+def removed_words(docs: DataFrame, span: int = SPAN, carry: str | None = None) -> DataFrame:
+    """``docs(doc_id, text, repeats, is_copy)`` to ``(doc_id, n_words, n_removed, kept_sha256)``.
 
-    ``repeats`` lists the first hash of the document's windows that an earlier document holds.
+    ``repeats`` lists the first hash of the document's windows that an earlier document holds. With ``carry``, that
+    column goes along and so does ``kept``: the text, of kept words joined by one space if any went.
     """
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    if carry:
+        schema += f", kept string, {carry} {docs.schema[carry].dataType.simpleString()}"
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,18 +178,20 @@ def removed_words(docs: DataFrame, span: int = SPAN, with_text: bool = True) ->
                     rows.append(kept)
                 columns = [ids.slice(part.first, part.n), pa.array(part.counts.astype(np.int64)), pa.array(np.asarray(removed, dtype=np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in rows], pa.string())]
                 names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-                if with_text:
-                    columns.append(pa.array([x.decode() for x in rows], pa.string()))
-                    names.append("kept")
+                if carry:
+                    texts = batch.column("text").slice(part.first, part.n).to_pylist()
+                    columns += [pa.array([x.decode() if n else text for x, n, text in zip(rows, removed, texts, strict=True)], pa.string()), batch.column(carry).slice(part.first, part.n)]
+                    names += ["kept", carry]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("doc_id", "text", "repeats", "is_copy").mapInArrow(cleaned, schema)
+    return docs.select("doc_id", "text", "repeats", "is_copy", *([carry] if carry else [])).mapInArrow(cleaned, schema)
 
 
-def remove_repeats(docs: DataFrame, *, span: int = SPAN, with_text: bool = False) -> DataFrame:
-    """``(doc_id, n_words, n_removed, kept_sha256[, kept])`` for each row of ``docs(doc_id, text)``."""
+def remove_repeats(docs: DataFrame, *, span: int = SPAN, carry: str | None = None) -> DataFrame:
+    """``(doc_id, n_words, n_removed, kept_sha256)`` for each row of ``docs(doc_id, text)``; see :func:`removed_words`."""
     none = F.lit((1 << 63) - 1)
-    docs = docs.select(F.coalesce("doc_id", none).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    given = docs.select(F.coalesce("doc_id", none).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *([carry] if carry else []))
+    docs = given.select("doc_id", "text")
     gone = settle(copies(docs, span))
     found = anchors(docs, span)
     common = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
@@ -196,5 +201,5 @@ def remove_repeats(docs: DataFrame, *, span: int = SPAN, with_text: bool = False
     later = around.join(firsts, ["w1", "w2"]).where("doc_id > first_doc")
     repeats = later.groupBy("doc_id").agg(F.collect_list("w1").alias("repeats")).withColumn("is_copy", F.lit(False))
     repeats = repeats.unionByName(gone.select("doc_id", F.array().cast("array<long>").alias("repeats"), F.lit(True).alias("is_copy")))
-    out = removed_words(docs.join(repeats, "doc_id", "left"), span, with_text)
+    out = removed_words(given.join(repeats, "doc_id", "left"), span, carry)
     return out.withColumn("doc_id", F.nullif("doc_id", none))
