@@ -1,11 +1,391 @@
-"""The registered queries over the core operators."""
+"""The registered queries over the core operators; the test tables stand in for jobs, pages, runs and records."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-Query = Callable[[SparkSession, str], DataFrame]
+from ..functions import compare, hashing, json_records, text
+from ..operators import chunking, extraction, jobs, preflight, scoring, telemetry
 
+Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+
+CHUNK_TOKENS, OVERLAP = 2048, 0.1
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as pages, their source as job."""
+    return t(spark, d, "documents").select(F.col("source").alias("job_id"), F.col("doc_id").alias("page_index"), "text")
+
+
+@query
+def token_estimate(spark: SparkSession, d: str) -> DataFrame:
+    return preflight.token_estimate(t(spark, d, "documents"), "lang")
+
+
+@query
+def preflight_classify(spark: SparkSession, d: str) -> DataFrame:
+    docs = t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("job_id"), F.lit(0).alias("page_index"), "text")
+    return preflight.pdf_kind(docs).groupBy("file_type").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("job_id").cast("long")).alias("first_id"))
+
+
+@query
+def file_kinds(spark: SparkSession, d: str) -> DataFrame:
+    path = F.when(F.col("doc_id") % 4 == 0, F.concat("source", F.lit(".XLSX"))).when(F.col("doc_id") % 4 == 1, F.concat("source", F.lit(".pdf"))).otherwise(F.col("source"))
+    body = F.encode(F.when(F.col("doc_id") % 8 == 2, "%PDF-1.7").when(F.col("doc_id") % 8 == 3, "PK..").otherwise("text"), "UTF-8")
+    return t(spark, d, "documents").groupBy(preflight.file_kind(path, body).alias("file_type")).agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
+
+
+@query
+def text_windows(spark: SparkSession, d: str) -> DataFrame:
+    docs = t(spark, d, "documents").where(text.estimate_tokens(F.col("text")) > CHUNK_TOKENS)
+    parts = docs.select("doc_id", F.posexplode(chunking.windows(F.col("text"), CHUNK_TOKENS, OVERLAP)).alias("part", "piece"))
+    return parts.select("doc_id", "part", F.length("piece").alias("n_chars"), F.sha2("piece", 256).alias("sha256"))
+
+
+@query
+def merge_segments(spark: SparkSession, d: str) -> DataFrame:
+    docs = _pages(spark, d).select("job_id", "page_index", F.lit(0).alias("part"), text.estimate_tokens(F.col("text")).alias("tokens"), F.length("text").alias("chars"))
+    merged = chunking.merge_numbers(docs, CHUNK_TOKENS)
+    return merged.groupBy("job_id", "chunk_index").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_pages"), F.min("page_index").alias("first_page"), F.max("page_index").alias("last_page"))
+
+
+@query
+def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
+    chunks = chunking.chunk_pages(_pages(spark, d), overlap=OVERLAP)
+    return chunks.select("job_id", "chunk_index", F.size("source_pages").alias("n_pages"), F.array_min("source_pages").alias("first_page"), "estimated_tokens", F.length("text").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
+
+
+def _line(df: DataFrame) -> DataFrame:
+    """One Markdown row for each line item, in a fixed order within its order's part of a thousand."""
+    cells = F.array(*[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")])
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"]
+    place = F.row_number().over(Window.partitionBy("sheet").orderBy(*order))
+    return df.withColumn("sheet", (F.col("l_orderkey") % 16).cast("int")).select("sheet", place.alias("i"), text.markdown_row(cells).alias("line"))
+
+
+@query
+def table_blocks(spark: SparkSession, d: str) -> DataFrame:
+    rows = _line(t(spark, d, "lineitem")).groupBy("sheet").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    page = F.concat(F.lit("# Sheet\n\n| order | line | part | flag |\n| --- | --- | --- | --- |\n"), "body", F.lit("\n"))
+    blocks = rows.select("sheet", F.posexplode(chunking.table_blocks(page)).alias("block", "piece"))
+    return blocks.select("sheet", "block", F.length("piece").alias("n_chars"), F.sha2("piece", 256).alias("sha256"))
+
+
+@query
+def separator_rows(spark: SparkSession, d: str) -> DataFrame:
+    cells = F.array(F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.when(F.col("l_linenumber") > 3, F.col("l_returnflag")).otherwise(F.lit("-")))
+    line = text.markdown_row(cells)
+    return t(spark, d, "lineitem").groupBy("l_linenumber").agg(F.count_if(text.is_separator(line)).alias("separators"), F.count_if(text.is_separator(line, strict=True)).alias("strict"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def page_select(spark: SparkSession, d: str) -> DataFrame:
+    return preflight.select_pages(t(spark, d, "conversations"), "1,3-5", "turn", base=1).select("conv_id", "turn", "role")
+
+
+@query
+def content_dedup(spark: SparkSession, d: str) -> DataFrame:
+    docs = t(spark, d, "documents").select(
+        F.col("doc_id").alias("id"), hashing.content_sha256(F.col("text")).alias("content_sha256"), F.col("lang").alias("pages_spec"),
+        F.when(F.col("doc_id") % 5 == 0, "failed").otherwise("completed").alias("status"), (F.col("doc_id") % 7).alias("completed_at"), F.col("doc_id").alias("created_at"),
+    )
+    return jobs.reusable_jobs(docs, ["content_sha256", "pages_spec"]).select("id", "content_sha256", "completed_at")
+
+
+@query
+def content_dup_groups(spark: SparkSession, d: str) -> DataFrame:
+    groups = t(spark, d, "documents").groupBy(hashing.content_sha256(F.col("text")).alias("content_sha256"))
+    return groups.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+
+
+@query
+def contract_ids(spark: SparkSession, d: str) -> DataFrame:
+    made = t(spark, d, "documents").select("lang", "source", hashing.contract_id(F.col("lang"), F.col("source"), F.lit("m:C")).alias("contract_id")).distinct()
+    return jobs.insert_missing(made.where("lang = 'en'"), made, ["contract_id"])
+
+
+@query
+def prompt_versions(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "documents").select("doc_id", hashing.prompt_version(F.col("lang"), F.col("text")).alias("prompt_version"))
+
+
+@query
+def json_props(spark: SparkSession, d: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").try_cast("bigint")
+    return t(spark, d, "events").groupBy("event_type").agg(F.count_if(json_records.is_json(F.col("props"))).alias("n_json"), F.sum(k).alias("sum_k"), F.count_if(text.is_absent(F.get_json_object("props", "$.k"))).alias("absent"))
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """Events' properties as model answers: fenced, wrapped, in an array, bare, broken."""
+    k = F.col("event_id") % 6
+    answer = (
+        F.when(k == 0, F.concat(F.lit("Here:\n```json\n["), "props", F.lit("]\n```")))
+        .when(k == 1, F.concat(F.lit('{"records":['), "props", F.lit(","), "props", F.lit("]}")))
+        .when(k == 2, F.concat(F.lit("["), "props", F.lit("]"))).when(k == 3, F.col("props")).when(k == 4, F.lit("no json")).otherwise(F.lit(" [] "))
+    )
+    return t(spark, d, "events").select("event_id", "event_type", answer.alias("answer"))
+
+
+@query
+def json_wrapped(spark: SparkSession, d: str) -> DataFrame:
+    got = json_records.records_json(F.col("answer"))
+    return _answers(spark, d).select("event_id", F.json_array_length(got).alias("n_records"))
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id") % 5
+    value = F.get_json_object("props", "$.k")
+    field = F.when(k == 0, F.concat(F.lit('"'), value, F.lit('"'))).when(k == 1, F.concat(value, F.lit(".5"))).when(k == 2, F.lit("null")).when(k == 3, F.lit('"x"')).otherwise(value)
+    return t(spark, d, "events").select("event_id", F.concat(F.lit('[{"k":'), field, F.lit("}]")).alias("answer"))
+
+
+@query
+def validate_records(spark: SparkSession, d: str) -> DataFrame:
+    import pyarrow as pa
+
+    def check(batches):
+        fields = [extraction.Field("k", "int")]
+        for batch in batches:
+            done = [extraction.validate(x.as_py(), fields) for x in batch.column("answer")]
+            yield pa.RecordBatch.from_arrays([batch.column("event_id"), pa.array([len(v) for v, _ in done], pa.int32()), pa.array([bool(e) for _, e in done]), pa.array([v[0]["k"] if v else None for v, _ in done], pa.int64())], ["event_id", "n_valid", "has_error", "k"])
+
+    return _records(spark, d).mapInArrow(check, "event_id long, n_valid int, has_error boolean, k long")
+
+
+@query
+def drop_all_null(spark: SparkSession, d: str) -> DataFrame:
+    rows = t(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 > 0, F.col("event_type")).alias("a"), F.when(F.col("event_id") % 2 > 0, F.col("value")).alias("b"))
+    return rows.where(F.coalesce(F.col("a").isNotNull() | F.col("b").isNotNull())).groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.count("b").alias("n_b"))
+
+
+def _golden_and_actual(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Orders by status as chunks; the actual side loses, repeats and changes some rows."""
+    orders = t(spark, d, "orders").select(
+        F.col("o_orderstatus").alias("chunk"), F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderpriority").alias("priority"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.col("o_orderkey").alias("i"),
+    )
+    actual = orders.where("i % 11 <> 0").select(
+        "chunk", F.when(F.col("i") % 13 == 0, F.lit(None)).otherwise(F.col("key")).alias("key"),
+        F.when(F.col("i") % 5 == 0, F.lower("priority")).when(F.col("i") % 7 == 0, F.lit("other")).otherwise(F.col("priority")).alias("priority"),
+        F.when(F.col("i") % 3 == 0, F.concat(F.substring("day", 6, 2), F.lit("/"), F.substring("day", 9, 2), F.lit("/"), F.substring("day", 1, 4))).otherwise(F.col("day")).alias("day"), "i",
+    )
+    return orders, actual
+
+
+@query
+def anchor_score(spark: SparkSession, d: str) -> DataFrame:
+    golden, actual = _golden_and_actual(spark, d)
+    pairs = scoring.pair_by_anchor(golden, actual, ["chunk"], "key", ["i"])
+    diffs = scoring.field_diffs(pairs, ["chunk"], ["priority", "day"])
+    return diffs.groupBy("chunk", "field", "match").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def anchor_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    golden, actual = _golden_and_actual(spark, d)
+    diffs = scoring.field_diffs(scoring.pair_by_anchor(golden, actual, ["chunk"], "key", ["i"]), ["chunk"], ["priority", "day"])
+    return diffs.groupBy("chunk").agg(F.round(scoring.accuracy(F.col("match")), 6).alias("accuracy"), F.coalesce(F.bool_and(F.col("match").isin("exact", "normalized")), F.lit(True)).alias("all_ok"))
+
+
+@query
+def index_score(spark: SparkSession, d: str) -> DataFrame:
+    golden, actual = _golden_and_actual(spark, d)
+    pairs = scoring.pair_by_index(golden, actual, ["chunk"])
+    return scoring.field_diffs(pairs, ["chunk"], ["priority"]).groupBy("chunk", "pairing", "match").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def duplicate_anchor_fifo(spark: SparkSession, d: str) -> DataFrame:
+    line = t(spark, d, "lineitem").select((F.col("l_orderkey") % 8).alias("chunk"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), "l_partkey", F.col("l_suppkey").alias("i"))
+    pairs = scoring.pair_by_anchor(line, line.where("l_partkey % 3 > 0"), ["chunk"], "key", ["i", "l_partkey"])
+    return pairs.groupBy("chunk", "pairing").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def page_range_resolve(spark: SparkSession, d: str) -> DataFrame:
+    turns = t(spark, d, "conversations")
+    chunks = turns.groupBy(F.col("conv_id").alias("fixture"), F.floor(F.col("turn") / 2).cast("int").alias("chunk_index")).agg(F.sort_array(F.collect_set("turn")).alias("chunk_pages"))
+    asked = turns.select(F.col("conv_id").alias("fixture"), F.col("turn").alias("range_id"), F.sequence(F.col("turn"), F.col("turn") + F.col("conv_id") % 4).alias("pages"))
+    return scoring.resolve_ranges(asked, chunks, "fixture")
+
+
+def _verdicts(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    return t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left").select(
+        "doc_id", "lang", F.when(F.coalesce("quality", F.lit(1)) == 1, "positive").otherwise("negative").alias("label"), (i % 2 == 0).alias("allow_empty"), F.col("quality").isNotNull().alias("present"),
+        (i % 17 == 0).alias("parse_error"), (i % 13 > 0).alias("validated"), F.coalesce(F.col("toxic"), F.lit(0)).alias("n_toxic"), (i % 19 == 0).alias("golden_error"), (i % 5 > 0).alias("has_golden"), (i % 3 > 0).alias("fields_ok"),
+    ).withColumn("n_records", F.when(F.col("label") == "positive", F.lit(1) - F.col("n_toxic")).otherwise(F.col("n_toxic"))).withColumn("reason", scoring.reason())
+
+
+@query
+def eval_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return _verdicts(spark, d).select("doc_id", "label", "reason", scoring.passed(F.col("reason")).alias("passed"))
+
+
+@query
+def eval_summary(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.summary(_verdicts(spark, d), "lang")
+
+
+def _compared(df: DataFrame, hint: str | None) -> DataFrame:
+    return compare.compare(df, "e", "a", hint).groupBy("k", "match").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def compare_number(spark: SparkSession, d: str) -> DataFrame:
+    q, k = F.col("l_quantity").cast("long").cast("string"), (F.col("l_orderkey") % 6).alias("k")
+    a = F.expr("CASE l_orderkey % 6 WHEN 0 THEN concat(l, '.0') WHEN 1 THEN concat('  ', l, ' ') WHEN 2 THEN concat(l, '1') WHEN 3 THEN concat(l, 'd') WHEN 4 THEN concat(l, '.0000000001') END")
+    return _compared(t(spark, d, "lineitem").withColumn("l", q).select(k, F.col("l").alias("e"), a.alias("a")), "number")
+
+
+@query
+def compare_currency(spark: SparkSession, d: str) -> DataFrame:
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    plain = F.concat((F.floor(cents / 100)).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    whole = F.floor(cents / 100).cast("long")
+    grouped = F.regexp_replace(whole.cast("string"), r"(?<=[0-9])(?=([0-9]{3})+$)", ",")
+    k = F.col("o_orderkey") % 4
+    a = F.when(k == 0, F.concat(F.lit("$"), grouped, F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))).when(k == 1, F.concat(F.lit("€ "), plain)).when(k == 2, F.concat(F.lit("£"), (whole + 1).cast("string"))).otherwise(plain)
+    return _compared(t(spark, d, "orders").select(k.alias("k"), plain.alias("e"), a.alias("a")), "currency")
+
+
+@query
+def compare_percent(spark: SparkSession, d: str) -> DataFrame:
+    p = F.round(F.col("l_discount") * 100).cast("long").cast("string")
+    k = F.col("l_orderkey") % 3
+    a = F.when(k == 0, F.concat(F.lit("0."), F.lpad(p, 2, "0"))).when(k == 1, F.concat(p, F.lit(" %"))).otherwise(F.concat(p, F.lit("7%")))
+    return _compared(t(spark, d, "lineitem").select(k.alias("k"), F.concat(p, F.lit("%")).alias("e"), a.alias("a")), "percent")
+
+
+@query
+def compare_date(spark: SparkSession, d: str) -> DataFrame:
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    k = F.col("o_orderkey") % 5
+    a = F.when(k == 0, F.date_format("o_orderdate", "MM/dd/yyyy")).when(k == 1, F.date_format("o_orderdate", "d-MMM-yyyy")).when(k == 2, F.date_format("o_orderdate", "yyyy/MM/dd")).when(k == 3, F.concat(day, F.lit("T00:00:00"))).otherwise(day)
+    return _compared(t(spark, d, "orders").select(k.alias("k"), day.alias("e"), a.alias("a")), "date")
+
+
+@query
+def compare_string(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey") % 4
+    a = F.when(k == 0, F.upper("c_name")).when(k == 1, F.concat(F.lit(" "), "c_name", F.lit(" "))).when(k == 2, F.concat("c_name", F.lit("x"))).otherwise(F.col("c_name"))
+    return _compared(t(spark, d, "customer").select(k.alias("k"), F.col("c_name").alias("e"), a.alias("a")), None)
+
+
+def _job_chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    chunks = t(spark, d, "documents").select(F.col("source").alias("job_id"), F.col("doc_id").alias("chunk_index"))
+    return chunks, chunks.join(t(spark, d, "labels").select(F.col("doc_id").alias("chunk_index")), "chunk_index")
+
+
+@query
+def resume_pending(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.pending_chunks(*_job_chunks(spark, d)).groupBy("job_id").agg(F.count(F.lit(1)).alias("pending"), F.min("chunk_index").alias("first_chunk"))
+
+
+@query
+def retry_promotion(spark: SparkSession, d: str) -> DataFrame:
+    orders, line = t(spark, d, "orders"), t(spark, d, "lineitem")
+    results = line.where("l_linenumber < 6").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("chunk_index"))
+    dead = line.where("l_returnflag = 'R' AND l_linenumber = 7").select(F.col("l_orderkey").alias("job_id"), F.lit("pending").alias("status"))
+    total = line.groupBy(F.col("l_orderkey").alias("job_id")).agg(F.countDistinct("l_linenumber").alias("total_chunks"))
+    made = orders.select(F.col("o_orderkey").alias("job_id"), F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "partial").otherwise("failed").alias("status"))
+    return jobs.promotable(made.join(total, "job_id"), results, dead).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("job_id").alias("ids"))
+
+
+@query
+def job_status(spark: SparkSession, d: str) -> DataFrame:
+    counts = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("job_id")).agg(F.count_if(F.col("l_returnflag") != "R").alias("completed_chunks"), F.count_if(F.col("l_returnflag") == "R").alias("failed_chunks"))
+    jobs_ = t(spark, d, "orders").select(F.col("o_orderkey").alias("job_id")).join(counts, "job_id", "left").fillna(0)
+    return jobs_.withColumn("status", jobs.job_status(jobs_)).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("job_id").alias("ids"))
+
+
+@query
+def attempt_runs(spark: SparkSession, d: str) -> DataFrame:
+    runs = t(spark, d, "events").select("user_id", "event_type", "ts", "event_id", F.when(F.col("event_type") == "error", "bad").alias("error"))
+    numbered = jobs.numbered_attempts(runs, ["user_id", "event_type"], ["ts", "event_id"])
+    return numbered.select("event_id", "attempt", "run_type", "is_last", "validation_passed")
+
+
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "events").select(
+        "user_id", (F.length("props") + F.col("event_id") % 100).alias("tokens_in"), F.length("event_type").alias("tokens_out"), F.floor(F.abs("value")).cast("long").alias("latency_ms"),
+        F.when(F.col("event_type") == "click", "repair").otherwise("extraction").alias("run_type"), (F.col("event_type") != "error").alias("validation_passed"),
+    )
+
+
+@query
+def llm_run_stats(spark: SparkSession, d: str) -> DataFrame:
+    return telemetry.run_stats(_runs(spark, d), "user_id")
+
+
+@query
+def suite_totals(spark: SparkSession, d: str) -> DataFrame:
+    return telemetry.run_stats(_runs(spark, d))
+
+
+@query
+def bench_metrics(spark: SparkSession, d: str) -> DataFrame:
+    days = t(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(
+        F.round(telemetry.pass_rate(F.col("event_type") != "error"), 6).alias("pass_rate"), F.count(F.lit(1)).alias("n"), F.max(F.floor(F.abs("value")).cast("long")).alias("peak"),
+        F.count_if(F.col("event_type") == "view").alias("plain"), F.count_if(F.col("event_type") == "click").alias("dual"),
+    )
+    percent = telemetry.overhead_percent(F.col("plain"), F.col("dual"))
+    return days.select(F.col("day").cast("string").alias("day"), "pass_rate", "peak", F.round(telemetry.per_minute(F.col("n"), F.lit(86400)), 6).alias("per_minute"), F.round(percent, 6).alias("overhead"), telemetry.is_regression(F.lit("pdf_text_small"), percent).alias("regression"))
+
+
+@query
+def event_validate(spark: SparkSession, d: str) -> DataFrame:
+    i, name = F.col("event_id"), F.col("event_type")
+    null = lambda k: F.lit(None).cast(k)
+    events = t(spark, d, "events").select(
+        "event_id", "ts", F.when(i % 9 == 0, "v1").otherwise("1.0").alias("schema_version"),
+        F.when(name == "click", "stage.end").when(name == "view", "llm.call").when(name == "error", "rss.sample").when(name == "signup", "job.start").otherwise("other").alias("event"),
+        F.when(i % 4 > 0, "chunking").alias("stage"), F.when(i % 5 > 0, i).alias("rss_bytes"), F.when(i % 7 > 0, "m").alias("model"), i.alias("tokens_in"), i.alias("tokens_out"),
+        null("int").alias("chunk_index"), null("string").alias("status"), null("string").alias("bench_run_id"), null("string").alias("workload"),
+    )
+    return events.groupBy(telemetry.event_problem().alias("problem")).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query
+def last_write_wins(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.latest(t(spark, d, "events"), ["user_id", "event_type"], [F.col("ts").desc(), F.col("event_id").desc()]).select("user_id", "event_type", "event_id")
+
+
+@query
+def export_records(spark: SparkSession, d: str) -> DataFrame:
+    records = json_records.records_json(F.col("answer"))
+    return _answers(spark, d).select("event_id", F.posexplode(F.from_json(records, "array<struct<k:bigint>>")).alias("i", "r")).select("event_id", "i", F.col("r.k").alias("k"))
+
+
+@query
+def sampled_estimate(spark: SparkSession, d: str) -> DataFrame:
+    chars = F.length(F.concat_ws("", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), F.col("l_returnflag")))
+    return preflight.sampled_estimate(t(spark, d, "lineitem"), "l_returnflag", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], chars)
+
+
+def stub_backend() -> extraction.StubBackend:
+    """Answers with a good, a bad or no record by the length of the prompt; it never mends a bad one."""
+
+    def answer(prompt: str) -> str:
+        return ('[{"n": 1, "name": "x"}]', '{"items": [{"n": "many", "name": "y"}]}', "[]", "none")[len(prompt) % 4]
+
+    return extraction.StubBackend(answer)
+
+
+@query
+def extract_stub(spark: SparkSession, d: str) -> DataFrame:
+    chunks = t(spark, d, "documents").select(F.col("source").alias("job_id"), F.col("doc_id").alias("chunk_index"), "text")
+    outcomes = extraction.extract(chunks, stub_backend, [extraction.Field("n", "int"), extraction.Field("name", "string", True)])
+    return outcomes.select("job_id", "chunk_index", "outcome", F.size("runs").alias("n_runs"))
