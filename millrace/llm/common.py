@@ -14,14 +14,21 @@ SPACE = r"\x20\x09-\x0D"
 def settle(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
 
-    A folder of our own is set only where the session names none, as in tests.
+    A folder of our own is set only where the session names none, as in tests. The checkpoint is all that later
+    steps read, so the shuffle files that made it are removed at once and do not add up over a long job.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
-    return df.checkpoint(eager=True)
+    tidy = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(tidy, "false")
+    spark.conf.set(tidy, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan of its own, made under that setting
+    finally:
+        spark.conf.set(tidy, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

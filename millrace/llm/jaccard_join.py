@@ -24,7 +24,6 @@ are one node; a null id is a node that comes last; an empty table gives an empty
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,24 +36,26 @@ from .wordhash import Hasher, Slice, U, _mix, slices, unique_pairs
 
 SHINGLE = 5
 HASHER = Hasher(21, lower=True)
-#: The sampled part of hash space: SAMPLED of 16. Prefixes take 25 % and a few more.
-SAMPLED = 5
-RARE = 16
+#: The sampled part of hash space: SAMPLED of 16. Prefixes take 25 % and a few more, so a set whose shared
+#: shingles are fewer than about two in five has none of them in its prefix.
+SAMPLED = 7
+RARE = 256
 CLASS_BASE = 1.334  # a little over 4/3, so that similar sets are at most one class apart
 
 
-def size_class(n: int) -> int:
-    return int(math.log(n) / math.log(CLASS_BASE))
+def size_classes(n: np.ndarray) -> np.ndarray:
+    """Size class of each set size (of empty sets: 0)."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(CLASS_BASE)).astype(np.int64)
 
 
-def groups_of(cls: int) -> int:
-    """G of a size class: about one group for 32 shingles; 0: single shingles do."""
-    return int(CLASS_BASE ** (cls + 1)) // 32
+def groups_of(cls: np.ndarray) -> np.ndarray:
+    """G of size classes: one group for 32 shingles or fewer."""
+    return np.maximum(1, np.floor(CLASS_BASE ** (cls + 1)).astype(np.int64) // 32)
 
 
-def prefix_length(n: int, cls: int) -> int:
-    """Length of the extended prefix of a set of ``n`` when indexed for ``cls``."""
-    return n - -(-3 * n // 4) + groups_of(cls) + 1
+def prefix_lengths(n: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Length of the extended prefix of sets of ``n`` when indexed for ``cls``."""
+    return n + (-3 * n) // 4 + groups_of(cls) + 1
 
 
 def sets_of(part: Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +101,7 @@ def prefix_tokens(docs: DataFrame) -> DataFrame:
                 owner, key = sets_of(part)
                 early = (key & U(15)) < U(SAMPLED)
                 n, m = (np.bincount(x, minlength=part.n) for x in (owner, owner[early]))
-                need = np.array([prefix_length(int(x), size_class(int(x)) + 1) if x else 0 for x in n], dtype=np.int64)
+                need = prefix_lengths(n, size_classes(n) + 1)
                 rest_owner, rest_key = owner[~early], key[~early]
                 first = np.searchsorted(rest_owner, np.arange(part.n))
                 place = np.arange(len(rest_owner)) - first[rest_owner] + 1 + m[rest_owner]
@@ -115,35 +116,40 @@ def prefix_tokens(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(made, "h long, doc_id long, late int")
 
 
+def _key(cls: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _mix(_mix(_mix(cls.astype(U) + U(7)) ^ a.view(U)) + b.view(U))
+
+
 def index_keys(lists: DataFrame) -> DataFrame:
     """``(key, doc_id)`` of ``lists(doc_id, n, m, tokens)``; tokens are (df, h, late) in global order, shared ones only."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lists = batch.column("tokens")
+            flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            df, h, late = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("df", "h", "late"))
+            n, m, ids = (batch.column(c).to_numpy() for c in ("n", "m", "doc_id"))
+            owner = np.repeat(np.arange(len(n)), sizes)
+            alone = m - np.bincount(owner[late == 0], minlength=len(n))
+            place = np.where(late == 0, alone[owner] + 1 + np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner], late)
             keys, owners = [], []
-            for row in batch.select(["doc_id", "n", "m", "tokens"]).to_pylist():
-                n, tokens = row["n"], row["tokens"]
-                alone = row["m"] - sum(not t["late"] for t in tokens)
-                at = [(alone + 1 + i if not t["late"] else t["late"], t["df"], t["h"]) for i, t in enumerate(tokens)]
-                for cls in (size_class(n), size_class(n) + 1):
-                    length, groups = prefix_length(n, cls), groups_of(cls)
-                    prefix = [(df, h) for place, df, h in at if place <= length]
-                    mine = {(cls, h) for df, h in prefix if df <= RARE or not groups}
-                    if groups:
-                        by_group: dict[int, list[int]] = {}
-                        for df, h in prefix:
-                            if df > RARE:
-                                by_group.setdefault((h >> 8) % groups, []).append(h)
-                        for members in by_group.values():
-                            mine.update((cls, a, b) for a, b in itertools.combinations(sorted(members), 2))
-                    keys += mine
-                    owners += [row["doc_id"]] * len(mine)
-            codes = np.zeros((3, len(keys)), dtype=U)
-            for i, key in enumerate(keys):
-                for j, x in enumerate(key):
-                    codes[j, i] = x & 0xFFFFFFFFFFFFFFFF
-            hashed = _mix(_mix(_mix(codes[0] + U(7)) ^ codes[1]) + codes[2]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(hashed), pa.array(owners, pa.int64())], ["key", "doc_id"])
+            for cls in (size_classes(n), size_classes(n) + 1):
+                mine = place <= prefix_lengths(n, cls)[owner]
+                single = mine & (df <= RARE)
+                keys.append(_key(cls[owner[single]], h[single], np.zeros(int(single.sum()), dtype=np.int64)))
+                owners.append(owner[single])
+                pair = np.flatnonzero(mine & (df > RARE))
+                group = (h[pair] >> 8) % groups_of(cls)[owner[pair]]
+                order = np.lexsort((h[pair], group, owner[pair]))
+                pair, group = pair[order], group[order]
+                cut = np.flatnonzero((np.diff(owner[pair]) != 0) | (np.diff(group) != 0)) + 1
+                for members in np.split(pair, cut):
+                    if len(members) > 1:
+                        i, j = np.triu_indices(len(members), 1)
+                        who = np.repeat(owner[members[0]], len(i))
+                        keys.append(_key(cls[who], h[members[i]], h[members[j]]))
+                        owners.append(who)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids[np.concatenate(owners)])], ["key", "doc_id"])
 
     return lists.mapInArrow(made, "key long, doc_id long")
 
@@ -195,7 +201,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def link(docs: DataFrame, *, percent: int = 75, first_pivots: int = 4, pivots: int = 16) -> DataFrame:
+def link(docs: DataFrame, *, percent: int = 75, first_pivots: int = 4) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for each row of ``docs(doc_id, text)``."""
     if percent < 75:
         raise ValueError("prefixes are laid out for similarities of 0.75 and more")
@@ -204,12 +210,15 @@ def link(docs: DataFrame, *, percent: int = 75, first_pivots: int = 4, pivots: i
     known = settle(describe(docs))
     classes = known.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     named = known.join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", "m", F.coalesce("rep", "doc_id").alias("rep"))
-    reps = classes.join(known, ["n", "s1", "s2"]).where("doc_id = rep").select("doc_id", "n", "m").distinct()
+    reps = classes.join(known, ["n", "s1", "s2"]).where("doc_id = rep").where("n > 1").select("doc_id", "n", "m").distinct()
 
     tokens = prefix_tokens(docs).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("df > 1")
     lists = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct((F.col("late") > 0).alias("is_late"), "df", "h", "late"))).alias("tokens"))
     postings = settle(index_keys(lists.join(reps, "doc_id")))
-    firsts = postings.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("key", "pivot")
+    # keys that list the same documents are one: a set of documents is told by its size and two sums of hashes
+    told = [F.sum(F.xxhash64("doc_id", F.lit(i)).cast("decimal(20,0)")).alias(f"t{i}") for i in (1, 2)]
+    firsts = postings.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("size"), *told).where("size > 1")
+    firsts = firsts.groupBy("size", "t1", "t2").agg(F.min("key").alias("key"), F.min("pivot").alias("pivot")).select("key", "pivot")
     active = settle(postings.join(firsts, "key"))
     involved = active.select("doc_id").distinct()
     sets = settle(shingle_sets(docs.join(involved, "doc_id", "left_semi")))
@@ -220,10 +229,11 @@ def link(docs: DataFrame, *, percent: int = 75, first_pivots: int = 4, pivots: i
     active = active.select("key", "doc_id")
     while True:
         pairs = settle(pairs.select("a", "b"))
-        found = similar(pairs, sets, percent)
-        links = settle(found if links is None else links.union(found))
         tried = pairs if tried is None else tried.union(pairs)
-        labels = components(links)
+        found = settle(similar(pairs, sets, percent))
+        if labels is None or not found.isEmpty():
+            links = found if links is None else links.union(found)
+            labels = components(links)
         marked = active.join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
         open_keys = marked.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("key")
         marked = settle(marked.join(open_keys, "key"))
@@ -234,6 +244,6 @@ def link(docs: DataFrame, *, percent: int = 75, first_pivots: int = 4, pivots: i
         cross = marked.join(chosen, "key").where("component <> pivot_component")
         pairs = cross.select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         active = marked.select("key", "doc_id").join(chosen.select("key", F.col("pivot").alias("doc_id")), ["key", "doc_id"], "left_anti")
-        width = pivots
+        width *= 4
     out = named.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left")
     return out.select(F.nullif("doc_id", none).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "rep"), none).alias("component_id"))
