@@ -12,7 +12,7 @@ link when ``100 * intersection >= 75 * union``; the result names each document's
    k = G + 1 and G groups by hash, if no shared prefix shingle is rare, two of the shared ones fall in one group.
    G follows the size class of the set (similar sets are in the same class or the next; each set is indexed
    for both), so a set of n shingles has on the order of n keys, however frequent they are.
-4. Documents under one key are compared with its smallest member first, one pair for each document, and linked
+4. Documents under one key are compared with its most connected member first, one pair for each document, and linked
    ones merged into components; while a key still holds several components, its members are compared with
    further pivots and those pivots retired. Every pair under a key is thus either verified or already in
    one component; no group is expanded into all its pairs and nothing is capped. Pairs are verified exactly.
@@ -201,7 +201,34 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def link(docs: DataFrame, *, percent: int = 75, first_pivots: int = 4) -> DataFrame:
+def all_tokens(sets: DataFrame) -> DataFrame:
+    """``(h, doc_id, late)`` of every shingle of ``sets(doc_id, shingles)``."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                keys = [np.frombuffer(x.as_py(), dtype=np.int64) for x in part.column("shingles")]
+                ids = np.repeat(part.column("doc_id").to_numpy(), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids), pa.array(np.zeros(len(ids), dtype=np.int32))], ["h", "doc_id", "late"])
+
+    return sets.mapInArrow(made, "h long, doc_id long, late int")
+
+
+def shared_keys(tokens: DataFrame, reps: DataFrame) -> DataFrame:
+    """``(key, doc_id, size)``: the index keys of ``reps(doc_id, n, m)`` that several documents have.
+
+    Keys that list the same documents are one; a set of documents is told by its size and two sums of hashes.
+    """
+    tokens = tokens.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("df > 1")
+    lists = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct((F.col("late") > 0).alias("is_late"), "df", "h", "late"))).alias("tokens"))
+    postings = settle(index_keys(lists.join(reps, "doc_id")))
+    told = [F.sum(F.xxhash64("doc_id", F.lit(i)).cast("decimal(20,0)")).alias(f"t{i}") for i in (1, 2)]
+    keys = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *told).where("size > 1")
+    return postings.join(keys.groupBy("size", "t1", "t2").agg(F.min("key").alias("key")).select("key", "size"), "key")
+
+
+def link(docs: DataFrame, *, percent: int = 75, first_pivots: int = 16) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for each row of ``docs(doc_id, text)``."""
     if percent < 75:
         raise ValueError("prefixes are laid out for similarities of 0.75 and more")
@@ -212,38 +239,35 @@ def link(docs: DataFrame, *, percent: int = 75, first_pivots: int = 4) -> DataFr
     named = known.join(classes, ["n", "s1", "s2"], "left").select("doc_id", "n", "m", F.coalesce("rep", "doc_id").alias("rep"))
     reps = classes.join(known, ["n", "s1", "s2"]).where("doc_id = rep").where("n > 1").select("doc_id", "n", "m").distinct()
 
-    tokens = prefix_tokens(docs).withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("df > 1")
-    lists = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct((F.col("late") > 0).alias("is_late"), "df", "h", "late"))).alias("tokens"))
-    postings = settle(index_keys(lists.join(reps, "doc_id")))
-    # keys that list the same documents are one: a set of documents is told by its size and two sums of hashes
-    told = [F.sum(F.xxhash64("doc_id", F.lit(i)).cast("decimal(20,0)")).alias(f"t{i}") for i in (1, 2)]
-    firsts = postings.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("size"), *told).where("size > 1")
-    firsts = firsts.groupBy("size", "t1", "t2").agg(F.min("key").alias("key"), F.min("pivot").alias("pivot")).select("key", "pivot")
-    active = settle(postings.join(firsts, "key"))
-    involved = active.select("doc_id").distinct()
-    sets = settle(shingle_sets(docs.join(involved, "doc_id", "left_semi")))
-
-    pairs = active.where("doc_id > pivot").groupBy(F.col("doc_id").alias("b")).agg(F.min("pivot").alias("a"))
-    links, labels, tried = None, None, None
+    # first over the sampled part of hash space; then over all shingles, but of the documents that have a key in
+    # common with another: in the full order rare shingles fill the prefix, and few documents are left
+    active = settle(shared_keys(prefix_tokens(docs), reps))
+    sets = settle(shingle_sets(docs.join(active.select("doc_id").distinct(), "doc_id", "left_semi")))
+    kept = settle(shared_keys(all_tokens(sets), reps.withColumn("m", F.col("n"))))
+    # pivots are the documents most in common with others: in a group of copies its original, which links them all
+    weight = kept.groupBy("doc_id").agg((-F.sum("size")).alias("w"))
+    active = settle(kept.select("key", "doc_id").join(weight, "doc_id"))
+
+    heads = active.groupBy("key").agg(F.min(F.struct("w", "doc_id")).alias("pivot"))
+    pairs = active.join(heads, "key").where("doc_id <> pivot.doc_id").groupBy("doc_id").agg(F.min("pivot").alias("pivot"))
+    pairs = pairs.select(F.least("pivot.doc_id", "doc_id").alias("a"), F.greatest("pivot.doc_id", "doc_id").alias("b")).distinct()
+    links, labels = None, None
     width = first_pivots
-    active = active.select("key", "doc_id")
     while True:
-        pairs = settle(pairs.select("a", "b"))
-        tried = pairs if tried is None else tried.union(pairs)
-        found = settle(similar(pairs, sets, percent))
+        found = settle(similar(pairs.select("a", "b"), sets, percent))
         if labels is None or not found.isEmpty():
             links = found if links is None else links.union(found)
             labels = components(links)
-        marked = active.join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        marked = active.join(labels, "doc_id", "left").select("key", "doc_id", "w", F.coalesce("component", "doc_id").alias("component"))
         open_keys = marked.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("key")
         marked = settle(marked.join(open_keys, "key"))
         if marked.isEmpty():
             break
-        ranked = marked.withColumn("_rank", F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))).where(F.col("_rank") <= width)
+        ranked = marked.withColumn("_rank", F.row_number().over(Window.partitionBy("key").orderBy("w", "doc_id"))).where(F.col("_rank") <= width)
         chosen = ranked.select("key", F.col("doc_id").alias("pivot"), F.col("component").alias("pivot_component"))
         cross = marked.join(chosen, "key").where("component <> pivot_component")
-        pairs = cross.select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        active = marked.select("key", "doc_id").join(chosen.select("key", F.col("pivot").alias("doc_id")), ["key", "doc_id"], "left_anti")
-        width *= 4
+        pairs = cross.select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
+        active = marked.select("key", "doc_id", "w").join(chosen.select("key", F.col("pivot").alias("doc_id")), ["key", "doc_id"], "left_anti")
+        width *= 8
     out = named.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left")
     return out.select(F.nullif("doc_id", none).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "rep"), none).alias("component_id"))
