@@ -104,6 +104,8 @@ def select_prefix(docs: DataFrame, quotas: DataFrame, levels: Sequence[str], see
     # the first 32 bits of the key, scaled to the leaf's number of blocks
     high = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
     rows = rows.withColumn("_block", F.floor(high * F.col("_blocks") / F.lit(4294967296)).cast("long"))
+    # dealt by block, or the running sums within blocks would stay where the join left them, a leaf in one task
+    rows = rows.repartition("_leaf", "_block")
     sums = rows.groupBy("_leaf", "_block").agg(F.sum("n_tokens").alias("_sum"))
     before = Window.partitionBy("_leaf").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(leaf, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
