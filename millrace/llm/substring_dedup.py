@@ -8,7 +8,9 @@ d < P for which both i + d and j + d fall in ``D`` modulo ``P``. So two equal wi
 an anchor, a window of ``span - P + 1`` words at such a place, and it is enough to hash anchors at the places in
 ``D``: 6 of every 31. Four steps, none of which pairs documents:
 
-1. Documents that repeat a smaller one word for word lose all their words at once and take no further part.
+1. Rows that repeat a smaller document word for word lose all their words at once; they are told by their id and
+   the hash of their text, so that rows which only share the id keep theirs. Documents of which every row is such
+   a copy take no further part.
 2. Anchors are counted by hash (a document counts once); those counted once are dropped.
 3. Documents with shared anchors extend them: every window of ``span`` words with a shared anchor among its
    first ``P`` places is hashed to 96 bits, and the smallest document id of each hash is found.
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
@@ -41,6 +43,11 @@ SEEDS = (11, 12)
 HASHERS = tuple(Hasher(s) for s in SEEDS)
 
 
+def row_key() -> Column:
+    """Tells rows that share an id apart."""
+    return F.xxhash64("text")
+
+
 def _anchors(part: Slice, words: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, place in the slice, hash) of the anchors of a slice."""
     size = span - PERIOD + 1
@@ -68,23 +75,30 @@ def anchors(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
 
 def sequences(docs: DataFrame) -> DataFrame:
-    """``(doc_id, n, s1, s2)``: how many words, and two hashes of their sequence."""
+    """``(doc_id, row_key, n, s1, s2)``: the hash of the row's text, how many words, and two hashes of their sequence."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column("text")):
                 sums = [x.whole(x.words(part.data, part.starts, part.ends), part.bounds).view(np.int64) for x in HASHERS]
-                columns = [batch.column("doc_id").slice(part.first, part.n), pa.array(part.counts.astype(np.int64)), *map(pa.array, sums)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2"])
+                given = [batch.column(c).slice(part.first, part.n) for c in ("doc_id", "row_key")]
+                columns = [*given, pa.array(part.counts.astype(np.int64)), *map(pa.array, sums)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row_key", "n", "s1", "s2"])
 
-    return docs.select("doc_id", "text").mapInArrow(hashed, "doc_id long, n long, s1 long, s2 long")
+    return docs.select("doc_id", "text", row_key().alias("row_key")).mapInArrow(hashed, "doc_id long, row_key long, n long, s1 long, s2 long")
 
 
 def copies(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """``doc_id`` of documents of at least ``span`` words that repeat a smaller one word for word."""
+    """``(doc_id, copied, all_copied)`` of documents with a row of at least ``span`` words that repeats a smaller one word for word.
+
+    ``copied`` lists the keys of those rows; ``all_copied`` says whether the document has no other row of that length.
+    """
     known = settle(sequences(docs).where(F.col("n") >= span))
     firsts = known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_last")).where("first_doc < _last")
-    return known.join(firsts.drop("_last"), ["n", "s1", "s2"]).where("doc_id > first_doc").select("doc_id").distinct()
+    is_copy = F.coalesce(F.col("doc_id") > F.col("first_doc"), F.lit(False))
+    rows = known.join(firsts.drop("_last"), ["n", "s1", "s2"], "left").select("doc_id", "row_key", is_copy.alias("is_copy"))
+    marked = rows.groupBy("doc_id").agg(F.collect_set(F.when(F.col("is_copy"), F.col("row_key"))).alias("copied"), F.min("is_copy").alias("all_copied"))
+    return marked.where(F.size("copied") > 0)
 
 
 def _windows(part: Slice, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,14 +206,18 @@ def remove_repeats(docs: DataFrame, *, span: int = SPAN, carry: str | None = Non
     none = F.lit((1 << 63) - 1)
     given = docs.select(F.coalesce("doc_id", none).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *([carry] if carry else []))
     docs = given.select("doc_id", "text")
-    gone = settle(copies(docs, span))
+    copied = settle(copies(docs, span))
     found = anchors(docs, span)
     common = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    per_doc = found.join(common, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")).join(gone, "doc_id", "left_anti")
+    per_doc = found.join(common, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")).join(copied.where("all_copied"), "doc_id", "left_anti")
     around = windows(docs.join(per_doc, "doc_id"), span)
     firsts = around.groupBy("w1", "w2").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     later = around.join(firsts, ["w1", "w2"]).where("doc_id > first_doc")
-    repeats = later.groupBy("doc_id").agg(F.collect_list("w1").alias("repeats")).withColumn("is_copy", F.lit(False))
-    repeats = repeats.unionByName(gone.select("doc_id", F.array().cast("array<long>").alias("repeats"), F.lit(True).alias("is_copy")))
-    out = removed_words(given.join(repeats, "doc_id", "left"), span, carry)
+    nothing = F.lit(None).cast("array<long>")
+    repeats = later.groupBy("doc_id").agg(F.collect_list("w1").alias("repeats")).withColumn("copied", nothing)
+    # a document may have rows that are copies and others with repeated windows
+    repeats = repeats.unionByName(copied.select("doc_id", nothing.alias("repeats"), "copied")).groupBy("doc_id")
+    repeats = repeats.agg(F.first("repeats", True).alias("repeats"), F.first("copied", True).alias("copied"))
+    is_copy = F.coalesce(F.array_contains("copied", row_key()), F.lit(False))
+    out = removed_words(given.join(repeats, "doc_id", "left").withColumn("is_copy", is_copy), span, carry)
     return out.withColumn("doc_id", F.nullif("doc_id", none))

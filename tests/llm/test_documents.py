@@ -144,6 +144,16 @@ def test_substring_dedup_on_odd_and_shared_texts(spark, odd_docs):
     assert sorted(map(tuple, got.collect()), key=str) == brute_dedup(rows)
 
 
+def test_copies_do_not_take_rows_that_share_their_id(spark):
+    """Null ids and one id with two texts: only the row that is a copy goes, the others are judged by their windows."""
+    last = (1 << 63) - 1
+    one, two, three, four = (prose(400 + k, 70) for k in range(4))
+    rows = [(1, one), (5, one), (5, two), (last, one), (last, three), (last, prose(410, 60) + " " + two), (last, None), (7, two + " end"), (7, one), (8, four), (8, "few words"), (9, four), (9, "few words")]
+    docs = spark.createDataFrame([(None if i == last else i, x) for i, x in rows], "doc_id long, text string")
+    got = [(last if r.doc_id is None else r.doc_id, *r[1:]) for r in substring_dedup.remove_repeats(docs).collect()]
+    assert sorted(got, key=str) == brute_dedup(rows)
+
+
 def test_cover_meets_every_pair_of_offsets():
     p, cover = substring_dedup.PERIOD, set(substring_dedup.COVER)
     assert all(any((i + d) % p in cover and (j + d) % p in cover for d in range(p)) for i in range(p) for j in range(p))
