@@ -7,7 +7,8 @@ order: a block's rows are compared with the queries whose window reaches into it
 precision, and only each query's best ``k`` leave the block; the blocks' lists are merged and ranked.
 
 The projections are fitted on at most ``SAMPLE`` vectors (the smallest by hashed id): their principal axes and
-ranges. Every vector is indexed. The window is ``share`` of all rows on either side, ``least`` rows at least.
+ranges. Every vector is indexed. The window is ``share`` of all rows on either side, at every size; ``least`` only
+keeps it from being smaller than the list of ``k`` it must fill, below 125 rows at the usual share.
 What recall that gives depends on the data and is measured in the tests and the README.
 
 Defined results: vectors that are null or zero, or hold null or non-finite components, or differ in length
@@ -109,7 +110,7 @@ def best(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def search(
-    vectors: DataFrame, is_query: Column, *, k: int = 10, orderings: int = 12, share: float = 0.08, least: int = 2000, block: int = 2000, seed: int = 7
+    vectors: DataFrame, is_query: Column, *, k: int = 10, orderings: int = 12, share: float = 0.08, least: int = 10, block: int = 2000, seed: int = 7
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: nearest found of ``vectors(vec_id, embedding)`` for the rows ``is_query``."""
     good = vectors.select("vec_id", "embedding").where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
