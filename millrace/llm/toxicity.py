@@ -1,6 +1,7 @@
 """Toxicity scores from a bidirectional gated recurrent network over words and characters.
 
-A text's words (letters only, lower case) are read in overlapping windows. A word's input is its own vector, if
+A text's words (letters only, lower case) are read in overlapping windows. A run of more than ``LONGEST`` letters
+(a clause in a script without spaces, words run together) is read whole, as pieces of that length that overlap by half. A word's input is its own vector, if
 the training sample's vocabulary has it, beside the mean vector of its character trigrams, so unseen spellings
 are read too. Both directions of a gated recurrent layer run over a window, attention pools their states, and
 a logistic layer scores the window. A document's score is that of its most toxic window, all windows counted,
@@ -33,20 +34,24 @@ WORD, CHAR, HIDDEN, ATTENTION = 8, 8, 8, 8
 WINDOW, STRIDE = 32, 24
 CACHE_WORDS, BATCH = 400_000, 4096
 STEPS = 100  # batches of training in each round, at least
+LONGEST = 40  # letters of a word; longer runs are several
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+    runs = _LETTERS.findall(text.lower()) if text else []
+    if max(map(len, runs), default=0) <= LONGEST:
+        return runs
+    half = LONGEST // 2
+    return [w[at : at + LONGEST] for w in runs for at in range(0, max(len(w) - half, 1), half)]
 
 
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words' character trigrams, edges marked, and how many each word has."""
-    cut = [w[:40] for w in words]
-    codes = np.frombuffer(("\x02" + "\x03\x02".join(cut) + "\x03").encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+    codes = np.frombuffer(("\x02" + "\x03\x02".join(words) + "\x03").encode("utf-32-le"), dtype="<u4").astype(np.uint64)
     a, b, c = codes[:-2], codes[1:-1], codes[2:]
     flat = ((a * 961 + b * 31 + c) * 2654435761 % 4294967296 % TRIGRAMS)[(a != 3) & (b != 3)]
-    return flat.astype(np.int64), np.array([len(w) for w in cut], dtype=np.int64)
+    return flat.astype(np.int64), np.array([len(w) for w in words], dtype=np.int64)
 
 
 def window_starts(n: int) -> range | list[int]:

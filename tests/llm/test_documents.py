@@ -280,6 +280,20 @@ def test_toxicity_windows_cover_long_texts():
     assert toxicity.train([], []).probability(np.zeros(2)).tolist() == [0.05, 0.05]
 
 
+def test_toxicity_reads_long_runs_whole():
+    """A run of letters is cut into overlapping pieces; what stands after the 40th letter counts."""
+    run = "".join(chr(0x4E00 + k) for k in range(203))
+    pieces = toxicity.words_of(f"short {run} end")
+    assert pieces[0] == "short" and pieces[-1] == "end" and max(map(len, pieces)) == toxicity.LONGEST
+    assert all(any(run[k : k + 20] in p for p in pieces) for k in range(len(run) - 19))
+    assert toxicity.words_of("a" * 40 + " " + "b" * 41) == ["a" * 40, "b" * 40, "b" * 21]
+    calm = "".join(chr(0x5000 + k) for k in range(60))
+    bad, good = (x * 4 for x in ("bad words here ", "good text now "))
+    net = toxicity.train([bad] * 20 + [good] * 20, [1] * 20 + [0] * 20, rounds=1)
+    p = toxicity.Reader(net).score([calm + "badwordsherebadwordshere", calm, calm + "goodtextnowgoodtextnow"])
+    assert p[0] > p[1] and p[0] > p[2]
+
+
 def test_quality_rates_without_documents(spark, odd_docs):
     empty = quality.features(odd_docs.limit(0)).select(F.array(*[r.vote() for r in quality.RULES]).alias("votes"))
     assert quality.estimate(empty, quality.RULES)[0] == quality.START_GOOD
