@@ -294,6 +294,13 @@ def test_toxicity_reads_long_runs_whole():
     assert p[0] > p[1] and p[0] > p[2]
 
 
+def test_toxicity_windows_overlap_by_half():
+    """Every span of 17 words lies in one window."""
+    for n in (1, 32, 33, 500):
+        starts = list(toxicity.window_starts(n))
+        assert all(any(s <= k and k + 17 <= s + toxicity.WINDOW for s in starts) for k in range(n - 16))
+
+
 def test_quality_rates_without_documents(spark, odd_docs):
     empty = quality.features(odd_docs.limit(0)).select(F.array(*[r.vote() for r in quality.RULES]).alias("votes"))
     assert quality.estimate(empty, quality.RULES)[0] == quality.START_GOOD
