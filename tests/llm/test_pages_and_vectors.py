@@ -63,6 +63,19 @@ def test_markup(spark):
     assert html_text.lines_of("<p>cut <b") == (["cut <b"], False)
 
 
+def test_marked_text_within_elements_named_beside_it():
+    """A wrapper's name does not take the article along, nor an article header's its title."""
+    inner = "<header class='entry-header'><div class='share'>tell</div><h1>Title</h1></header><p>text</p><div class='ad'><h2>buy</h2></div><section id='comments'><article><h3>re</h3>first!</article></section>"
+    want = (["Title", "text"], True)
+    for around in ("content-sidebar-wrap", "layout has-sidebar", "page-with-ads", "page"):
+        assert html_text.lines_of(f"<div class='{around}'><p>beside</p><article>{inner}</article></div><p>more</p>") == want, around
+        assert html_text.lines_of(f"<div class='{around}'><main>{inner}</main><div class='sidebar'>side</div></div>") == want, around
+    assert html_text.lines_of(f"<form><div class='sidebar'><div role='main'>{inner}</div></div></form>") == want
+    # articles of comments, of asides and of sidebars are not the page's
+    for beside in ("<div id='comments'><article>no</article></div>", "<ol class='comment-list'><article>no</article></ol>", "<aside><article>no</article></aside>", "<div class='sidebar'><article>no</article></div>"):
+        assert html_text.lines_of(f"<div><p>text</p></div>{beside}") == (["text"], False), beside
+
+
 def test_template_lines_go(spark):
     body = "<div>Welcome</div><p>{0} a</p><p>{0} b</p><p>{0} c</p><div>Imprint</div>"
     rows = [(i, f"http://h.net/n/{i}", body.format(i), "x") for i in range(6)] + [(9, "http://other.net/n/1", body.format(9), "x"), (10, None, None, None)]
