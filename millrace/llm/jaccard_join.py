@@ -12,10 +12,14 @@ link when ``100 * intersection >= 75 * union``; the result names each document's
    k = G + 1 and G groups by hash, if no shared prefix shingle is rare, two of the shared ones fall in one group.
    G follows the size class of the set (similar sets are in the same class or the next; each set is indexed
    for both), so a set of n shingles has on the order of n keys, however frequent they are.
-4. Documents under one key are compared with its most connected member first, one pair for each document, and linked
-   ones merged into components; while a key still holds several components, its members are compared with
-   further pivots and those pivots retired. Every pair under a key is thus either verified or already in
-   one component; no group is expanded into all its pairs and nothing is capped. Pairs are verified exactly.
+4. Documents under one key are compared with its most connected member, the pivot; keys with the same pivot become one
+   group, and linked documents are merged into components. Small groups that still hold several components are
+   compared pair by pair. A large one is indexed anew by what its members do not share: x and y link when
+   ``|x ^ y|`` is small, and ``|x ^ y| = |x ^ p| + |y ^ p| - 2 |(x ^ p) & (y ^ p)|`` for the pivot p, so two members that are
+   not both linked to p must share a large part of their differences from p. Prefixes of these differences (what a
+   member adds to p, then what it lacks) give the keys of the next round. Each round makes pairs in proportion to
+   its rows; no group is expanded into all its pairs and nothing is capped. A key's pivot comes before its other
+   members in one fixed order, so pivots move on and the rounds end. Pairs are verified exactly.
 
 Defined results: null, empty and blank texts have an empty set and their own component; rows with one id
 are one node; a null id is a node that comes last; an empty table gives an empty result.
@@ -40,6 +44,8 @@ HASHER = Hasher(21, lower=True)
 #: shingles are fewer than about two in five has none of them in its prefix.
 SAMPLED = 7
 RARE = 256
+#: Classes of members of a group, by their difference from its pivot: each is as wide as 1 / CLASSES of the pivot's shingles.
+CLASSES = 64
 CLASS_BASE = 1.334  # a little over 4/3, so that similar sets are at most one class apart
 
 
@@ -201,6 +207,22 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``pairs(a, b, ...)`` with ``ca`` and ``cb``, the components of both, where these differ."""
+    one = labels.select(F.col("doc_id").alias("a"), F.col("component").alias("ca"))
+    two = labels.select(F.col("doc_id").alias("b"), F.col("component").alias("cb"))
+    return pairs.join(one, "a").join(two, "b").where("ca <> cb")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after more links; only the components that these join are worked on."""
+    ends = settle(across(links, labels).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    if ends.isEmpty():
+        return labels
+    new = components(ends).select(F.col("doc_id").alias("component"), F.col("component").alias("_new"))
+    return settle(labels.join(new, "component", "left").select("doc_id", F.coalesce("_new", "component").alias("component")))
+
+
 def all_tokens(sets: DataFrame) -> DataFrame:
     """``(h, doc_id, late)`` of every shingle of ``sets(doc_id, shingles)``."""
 
@@ -215,21 +237,81 @@ def all_tokens(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(made, "h long, doc_id long, late int")
 
 
-def shared_keys(tokens: DataFrame, reps: DataFrame) -> DataFrame:
-    """``(key, doc_id, size)``: the index keys of ``reps(doc_id, n, m)`` that several documents have.
+def several(postings: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """``(key, doc_id, size)`` of ``postings(key, doc_id)`` under keys that several documents have (of several components,
+    if ``labels`` are given).
 
     Keys that list the same documents are one; a set of documents is told by its size and two sums of hashes.
     """
-    tokens = tokens.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("df > 1")
-    lists = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct((F.col("late") > 0).alias("is_late"), "df", "h", "late"))).alias("tokens"))
-    postings = settle(index_keys(lists.join(reps, "doc_id")))
     told = [F.sum(F.xxhash64("doc_id", F.lit(i)).cast("decimal(20,0)")).alias(f"t{i}") for i in (1, 2)]
-    keys = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *told).where("size > 1")
+    rows, wanted = postings, F.col("size") > 1
+    if labels is not None:
+        rows, wanted = postings.join(labels, "doc_id"), F.col("low") < F.col("high")
+        told += [F.min("component").alias("low"), F.max("component").alias("high")]
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *told).where(wanted)
     return postings.join(keys.groupBy("size", "t1", "t2").agg(F.min("key").alias("key")).select("key", "size"), "key")
 
 
-def link(docs: DataFrame, *, percent: int = 75, first_pivots: int = 16) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for each row of ``docs(doc_id, text)``."""
+def shared_keys(tokens: DataFrame, reps: DataFrame) -> DataFrame:
+    """``(key, doc_id, size)``: the index keys of ``reps(doc_id, n, m)`` that several documents have."""
+    tokens = tokens.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("h"))).where("df > 1")
+    lists = tokens.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct((F.col("late") > 0).alias("is_late"), "df", "h", "late"))).alias("tokens"))
+    return several(settle(index_keys(lists.join(reps, "doc_id"))))
+
+
+def difference_prefixes(x: np.ndarray, p: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
+    """``(class, class, prefix)``: prefixes of ``x ^ p`` by class of x and class of the partner, smaller class first.
+
+    Sets link when ``wide |x ^ y| <= close (|x| + |y|)`` with wide = 100 + percent and close = 100 - percent. With a = |x ^ p| and
+    b = |y ^ p| the differences then share at least t = (g(x) + g(y)) / 2 wide, where g(x) = wide a - close |x|, and so
+    their prefixes of a - t + 1 and b - t + 1 meet. g is cut into classes, and x has a prefix for each class that a
+    partner can be of: t <= a and t <= b bound g(y), and of two sets that are both linked to p, g <= close |p|, the
+    pair needs no key.
+    """
+    close, wide = 100 - percent, 100 + percent
+    changed = np.concatenate([np.setdiff1d(x, p, assume_unique=True), np.setdiff1d(p, x, assume_unique=True)])
+    a, n = len(changed), len(x)
+    g, step = wide * a - close * n, max(1, 2 * wide * len(p) // CLASSES)
+    low, high = g - 2 * close * (100 * n // percent), wide * a + close * n
+    if g <= close * len(p):
+        low = max(low, close * len(p) + 1)
+    out = []
+    for partner in range(low // step, high // step + 1):
+        t = max(1, -(-(g + max(partner * step, low)) // (2 * wide)))
+        if t <= a:
+            out.append((min(partner, g // step), max(partner, g // step), changed[: a - t + 1]))
+    return out
+
+
+def difference_keys(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(key, doc_id)``: index keys of the members of ``stars(pivot, doc_id)`` by their differences from the pivot."""
+    one = sets.select("doc_id", F.col("shingles").alias("x"))
+    two = sets.select(F.col("doc_id").alias("pivot"), F.col("shingles").alias("p"))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                keys, counts = [np.empty(0, dtype=U)], []
+                for pivot, x, p in zip(part.column("pivot").to_pylist(), part.column("x"), part.column("p"), strict=True):
+                    x, p = np.frombuffer(x.as_py(), dtype=U), np.frombuffer(p.as_py(), dtype=U)
+                    found = difference_prefixes(x, p, percent)
+                    place = _mix(np.array([(pivot, one, two) for one, two, _ in found], dtype=np.int64).reshape(-1, 3).view(U))
+                    place = _mix(_mix(place[:, 0] + place[:, 1] * U(3)) + place[:, 2])
+                    sizes = [len(prefix) for *_, prefix in found]
+                    keys.append(_mix(np.concatenate([np.empty(0, dtype=U), *(prefix for *_, prefix in found)]) ^ np.repeat(place, sizes)))
+                    counts.append(sum(sizes))
+                ids = np.repeat(part.column("doc_id").to_numpy(), counts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids)], ["key", "doc_id"])
+
+    return stars.join(one, "doc_id").join(two, "pivot").mapInArrow(made, "key long, doc_id long").distinct()
+
+
+def link(docs: DataFrame, *, percent: int = 75, few: int = 32) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for each row of ``docs(doc_id, text)``.
+
+    Groups of up to ``few`` documents are compared pair by pair.
+    """
     if percent < 75:
         raise ValueError("prefixes are laid out for similarities of 0.75 and more")
     none = F.lit((1 << 63) - 1)
@@ -245,29 +327,35 @@ def link(docs: DataFrame, *, percent: int = 75, first_pivots: int = 16) -> DataF
     sets = settle(shingle_sets(docs.join(active.select("doc_id").distinct(), "doc_id", "left_semi")))
     kept = settle(shared_keys(all_tokens(sets), reps.withColumn("m", F.col("n"))))
     # pivots are the documents most in common with others: in a group of copies its original, which links them all
-    weight = kept.groupBy("doc_id").agg((-F.sum("size")).alias("w"))
-    active = settle(kept.select("key", "doc_id").join(weight, "doc_id"))
-
-    heads = active.groupBy("key").agg(F.min(F.struct("w", "doc_id")).alias("pivot"))
-    pairs = active.join(heads, "key").where("doc_id <> pivot.doc_id").groupBy("doc_id").agg(F.min("pivot").alias("pivot"))
-    pairs = pairs.select(F.least("pivot.doc_id", "doc_id").alias("a"), F.greatest("pivot.doc_id", "doc_id").alias("b")).distinct()
-    links, labels = None, None
-    width = first_pivots
+    weight = settle(kept.groupBy("doc_id").agg((-F.sum("size")).alias("w")))
+    labels = settle(weight.select("doc_id", F.col("doc_id").alias("component")))
+
+    def compared(groups: DataFrame) -> DataFrame:
+        """``labels`` after all pairs within small groups ``(group, doc_id)``."""
+        rows = groups.join(labels, "doc_id").select("group", F.col("doc_id").alias("a"), "component")
+        other = rows.select("group", F.col("a").alias("b"), F.col("component").alias("_component"))
+        pairs = rows.join(other, "group").where("component <> _component AND a < b").select("a", "b").distinct()
+        return merged(labels, similar(pairs, sets, percent))
+
+    keyed, first = kept, True
     while True:
-        found = settle(similar(pairs.select("a", "b"), sets, percent))
-        if labels is None or not found.isEmpty():
-            links = found if links is None else links.union(found)
-            labels = components(links)
-        marked = active.join(labels, "doc_id", "left").select("key", "doc_id", "w", F.coalesce("component", "doc_id").alias("component"))
-        open_keys = marked.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high").select("key")
-        marked = settle(marked.join(open_keys, "key"))
-        if marked.isEmpty():
+        # at first keys are many and alike, and all go to their pivot; later, small ones are compared at once
+        if not first:
+            labels = compared(keyed.where(F.col("size") <= few).select(F.col("key").alias("group"), "doc_id"))
+            keyed = keyed.where(F.col("size") > few)
+        heads = keyed.join(weight, "doc_id").groupBy("key").agg(F.min(F.struct("w", "doc_id")).alias("head"))
+        stars = keyed.join(heads, "key").select(F.col("head.doc_id").alias("pivot"), "doc_id").where("pivot <> doc_id").distinct()
+        stars = settle(stars)
+        if stars.isEmpty():
+            break
+        pairs = stars.select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
+        labels = merged(labels, similar(across(pairs, labels).select("a", "b"), sets, percent))
+        groups = stars.join(labels, "doc_id").groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+        members = settle(stars.join(groups.where("low < high").select("pivot", "size"), "pivot"))
+        labels = compared(members.where(F.col("size") <= few).select(F.col("pivot").alias("group"), "doc_id"))
+        large = members.where(F.col("size") > few).select("pivot", "doc_id")
+        keyed, first = settle(several(settle(difference_keys(large, sets, percent)), labels)), False
+        if keyed.isEmpty():
             break
-        ranked = marked.withColumn("_rank", F.row_number().over(Window.partitionBy("key").orderBy("w", "doc_id"))).where(F.col("_rank") <= width)
-        chosen = ranked.select("key", F.col("doc_id").alias("pivot"), F.col("component").alias("pivot_component"))
-        cross = marked.join(chosen, "key").where("component <> pivot_component")
-        pairs = cross.select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
-        active = marked.select("key", "doc_id", "w").join(chosen.select("key", F.col("pivot").alias("doc_id")), ["key", "doc_id"], "left_anti")
-        width *= 8
     out = named.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left")
     return out.select(F.nullif("doc_id", none).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "rep"), none).alias("component_id"))
