@@ -1,6 +1,6 @@
 """Packing documents into sequences of at most ``capacity`` tokens.
 
-Every document's ids end with ``end_id``; only documents longer than the capacity are cut, into full pieces
+Every document's ids end with the tokenizer's ``end``; only documents longer than the capacity are cut, into full pieces
 with a shorter piece first. How pieces are packed depends on their lengths alone, so the plan is made over
 the histogram of lengths (at most ``capacity`` counts, however many documents there are):
 
@@ -17,8 +17,9 @@ sequences of their own and need no rank.
 
 Token ids are made once and cut off from the plan with a checkpoint; of them only lengths and checksums are
 kept. Ids come from the byte-level vocabulary in rank form, with texts cut at single spaces between other
-characters (the pre-tokenizer puts a boundary there, and the space goes with the word after it) and a
-bounded cache of words; tests hold them equal to the tokenizers library's.
+characters (the pre-tokenizer puts a boundary there, and the space goes with the word after it). Words are looked up
+in a bounded cache, all new words of a slice of texts are encoded in one call, and the ids of the slice are gathered
+from the cache at once; tests hold them equal to the tokenizers library's.
 
 Defined results: null and empty texts have the end id alone; special strings inside a text become special
 tokens, as the library does by default; repeated rows are packed each by itself; an empty table gives an
@@ -28,59 +29,125 @@ empty result; other columns are not looked at.
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle, spread
 
-CACHE_WORDS, CACHE_CHARS = 200_000, 48
-#: A space that has white space beside it, or the text's edge: no place to cut.
-_UNSAFE = re.compile(r"^ |\s |\ (?=\s|$)")
+#: The cache of words is emptied beyond so many words or ids. Texts are encoded in slices of so many characters.
+CACHE_WORDS, CACHE_IDS, SLICE_CHARS = 400_000, 4_000_000, 1 << 19
+#: Cache keys that no word is equal to, as words hold no space: a document's end, and no word at all before a space.
+_END, _NO_HEAD = "  end", "  "
 
 
-class _Words(dict):
-    """Little-endian ids of a word with its space in front, by the word."""
+class _Numbers(dict):
+    """Number of a word, in order of appearance; ``new`` lists those not encoded yet."""
 
-    def __init__(self, encode):
+    def __init__(self):
         super().__init__()
-        self.encode = encode
+        self.new: list[str] = []
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(" " + word)
-        if len(word) <= CACHE_CHARS:
-            self[word] = ids
-        return ids
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
 
 
 class ByteBpe:
-    """Ids of texts as unsigned little-endian 32-bit bytes."""
+    """Ids of texts, each with the ids ``end`` after it, from a byte-level vocabulary in rank form."""
 
-    def __init__(self, ranks_path: str, pattern: str, special: dict[str, int]):
-        import numpy as np
+    def __init__(self, ranks_path: str, pattern: str, special: dict[str, int], end: Sequence[int] = ()):
         import tiktoken
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.model = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-        self.whole = lambda text: np.asarray(self.model.encode(text, allowed_special="all"), dtype="<u4").tobytes()
-        self.words = _Words(self.whole)
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if _UNSAFE.search(text):
-            return self.whole(text)
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        first, *rest = text.split(" ")
-        return self.whole(first) + b"".join(map(self.words.__getitem__, rest))
+        self.special, self.end = tuple(special), list(end)
+        self.token_bytes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        for token, rank in ranks.items():
+            self.token_bytes[rank] = len(token)
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers = _Numbers()
+        self.flat = np.empty(0, dtype="<u4")
+        self.begin = self.size = np.empty(0, dtype=np.int64)
+        self.unsafe = np.empty(0, dtype=bool)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.model.encode(text, allowed_special="all"), dtype="<u4")
+
+    def _learn(self) -> None:
+        """Encode the new words: a key that starts with a space is a text's first word, others stand after a space."""
+        new, self.numbers.new = self.numbers.new, []
+        together = [i for i, word in enumerate(new) if word and word.strip() == word]
+        text = " " + " ".join([new[i] for i in together])
+        if any(x in text for x in self.special):
+            together = [i for i in together if not any(x in new[i] for x in self.special)]
+            text = " " + " ".join([new[i] for i in together])
+        ids = np.array(self.model.encode_ordinary(text) if together else [], dtype="<u4")
+        spaces = np.flatnonzero(np.frombuffer(text.encode(), dtype=np.uint8) == 32)[: len(together)]
+        at = np.append(np.searchsorted(np.cumsum(self.token_bytes[ids]), spaces, side="right"), len(ids))
+        begin, size, unsafe = (np.zeros(len(new), dtype=t) for t in (np.int64, np.int64, bool))
+        begin[together], size[together] = at[:-1], np.diff(at)
+        alone, made = [ids], len(ids)
+        for i in set(range(len(new))).difference(together):
+            word = new[i]
+            if word == _END:
+                alone.append(np.array(self.end, dtype="<u4"))
+            elif word == _NO_HEAD or not word or word != " " and word[-1].isspace() or word[0] != " " and word[0].isspace():
+                unsafe[i] = True
+                continue
+            else:
+                alone.append(self.whole(word[1:] if word[0] == " " else " " + word))
+            begin[i], size[i] = made, len(alone[-1])
+            made += len(alone[-1])
+        self.begin = np.concatenate([self.begin, len(self.flat) + begin])
+        self.flat = np.concatenate([self.flat, *alone])
+        self.size, self.unsafe = np.concatenate([self.size, size]), np.concatenate([self.unsafe, unsafe])
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, followed by ``end``."""
+        if len(self.numbers) > CACHE_WORDS or len(self.flat) > CACHE_IDS:
+            self.forget()
+        words: list[str] = []
+        counts = np.empty(len(texts), dtype=np.int64)
+        for i, text in enumerate(texts):
+            parts = text.split(" ")
+            parts[0] = _NO_HEAD if not parts[0] and len(parts) > 1 else " " + parts[0]
+            words += parts
+            words.append(_END)
+            counts[i] = len(parts) + 1
+        numbers = np.fromiter(map(self.numbers.__getitem__, words), dtype=np.int64, count=len(words))
+        if self.numbers.new:
+            self._learn()
+        size = self.size[numbers]
+        last = np.cumsum(size)
+        ids = self.flat[np.repeat(self.begin[numbers] - last + size, size) + np.arange(last[-1])]
+        upto = np.cumsum(counts)
+        parts = np.split(ids, last[upto[:-1] - 1])
+        for i in np.flatnonzero(np.logical_or.reduceat(self.unsafe[numbers], upto - counts)):
+            parts[i] = np.concatenate([self.whole(texts[i]), np.array(self.end, dtype="<u4")])
+        return parts
+
+
+def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts of about ``SLICE_CHARS`` characters, a longer text alone."""
+    first = size = 0
+    for i, text in enumerate(texts):
+        if i > first and size + len(text) > SLICE_CHARS:
+            yield first, i
+            first, size = i, 0
+        size += len(text)
+    if texts:
+        yield first, len(texts)
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -89,18 +156,17 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, capacity) for at in range(first, n, capacity)]
 
 
-def tokenize(docs: DataFrame, tokenizer, capacity: int, end_id: int) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer, capacity: int) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)``; ``tokenizer()`` makes a :class:`ByteBpe` on the worker."""
-    end = int(end_id).to_bytes(4, "little")
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokenizer()
         for batch in batches:
             ids, rows = batch.column("doc_id").to_pylist(), []
-            for doc_id, value in zip(ids, batch.column("text"), strict=True):
-                data = memoryview(model.encode(value.as_py() or "") + end)
-                for k, (start, length) in enumerate(cut(len(data) // 4, capacity)):
-                    rows.append((doc_id, k, start, length, zlib.crc32(data[4 * start : 4 * (start + length)])))
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            for lo, hi in slices(texts):
+                for doc_id, tokens in zip(ids[lo:hi], model.encode_all(texts[lo:hi]), strict=True):
+                    for k, (start, length) in enumerate(cut(len(tokens), capacity)):
+                        rows.append((doc_id, k, start, length, zlib.crc32(tokens[start : start + length])))
             columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5
             columns[1] = columns[1].cast(pa.int32())
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
@@ -212,8 +278,6 @@ def assign(ranked: DataFrame, where: dict[int, list[tuple[int, int, int, int]]])
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         tables = {length: np.array(rows, dtype=np.int64).T for length, rows in where.items()}
         for batch in batches:
             lengths, ranks = batch.column("length").to_numpy(), batch.column("rank").to_numpy().astype(np.int64)
@@ -232,9 +296,9 @@ def assign(ranked: DataFrame, where: dict[int, list[tuple[int, int, int, int]]])
     return ranked.mapInArrow(place, schema)
 
 
-def pack(docs: DataFrame, tokenizer, *, capacity: int, end_id: int) -> DataFrame:
+def pack(docs: DataFrame, tokenizer, *, capacity: int) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)`` for each piece of ``docs(doc_id, text)``."""
-    pieces = settle(tokenize(docs, tokenizer, capacity, end_id))
+    pieces = settle(tokenize(docs, tokenizer, capacity))
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     where = slots(plan(dict(counts), capacity))
     short, full = pieces.where(F.col("length") < capacity), pieces.where(F.col("length") == capacity)

@@ -85,12 +85,12 @@ def pack_tokenizer() -> packing.ByteBpe:
     """The vocabulary of ``byte_bpe_50k.json`` in rank form, with its one special token."""
     import public_tokenizers
 
-    return packing.ByteBpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+    return packing.ByteBpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {"<|endoftext|>": 50256}, [PACK_END_ID])
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.pack(docs, pack_tokenizer, capacity=PACK_CAPACITY, end_id=PACK_END_ID)
+    return packing.pack(docs, pack_tokenizer, capacity=PACK_CAPACITY)
 
 
 TOXIC_AT = 0.3

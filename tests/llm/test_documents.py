@@ -57,7 +57,7 @@ def test_byte_bpe_equals_the_library():
 
     fast = pack_tokenizer()
     for x in ["", " a", "a ", "a  b", "a \nb", "a\n b c", "<|endoftext|> a b<|endoftext|>", "é ü 漢字 1 2's", "a\u00a0 b", "a\x1c b c", prose(1, 300)]:
-        assert fast.encode(x) == np.array(slow.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes(), x
+        assert fast.encode_all([x])[0].tolist() == [*slow.encode(x, add_special_tokens=False).ids, 2], x
 
 
 def check_packing(rows, want: dict[int, list[list[int]]], capacity: int) -> int:
