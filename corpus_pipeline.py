@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import jaccard_join, mixing, packing, quality, substring_dedup
 from millrace.llm.common import settle, table
-from millrace.llm.queries import MIX_LEVELS, MIX_SEED, PACK_CAPACITY, PACK_END_ID, mix_weights, pack_tokenizer, with_domain
+from millrace.llm.queries import MIX_LEVELS, MIX_SEED, PACK_CAPACITY, mix_weights, pack_tokenizer, with_domain
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -23,24 +23,32 @@ KEEP_SHARE, ONCE = 0.9, 1
 
 
 def _only(docs: DataFrame, ids: DataFrame, *more: str) -> DataFrame:
-    """Rows of ``docs`` whose id is in ``ids``; a null id counts as an id. ``more``: SQL over rows that must agree, too."""
-    ids = ids.select(F.col("doc_id").alias("_kept_0"), *[F.col(f"_kept_{k}") for k in range(1, len(more) + 1)]).distinct()
-    on = docs["doc_id"].eqNullSafe(F.col("_kept_0"))
-    for k, sql in enumerate(more, 1):
-        on = on & F.expr(sql).eqNullSafe(F.col(f"_kept_{k}"))
+    """Rows of ``docs`` whose id is in ``ids``; a null id counts as an id.
+
+    ``more``: SQL over rows that must agree with the columns of ``ids`` after the first, too.
+    """
+    taken = {c.lower() for c in docs.columns}
+    names: list[str] = []
+    for k in range(len(more) + 1):  # names that no column of docs has
+        names.append(next(x for x in (f"_kept_{k}{'_' * n}" for n in range(len(taken) + 1)) if x not in taken))
+    ids = ids.toDF(*names).distinct()
+    on = docs["doc_id"].eqNullSafe(F.col(names[0]))
+    for name, sql in zip(names[1:], more, strict=True):
+        on = on & F.expr(sql).eqNullSafe(F.col(name))
     return docs.join(ids, on, "left_semi")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weak-supervision verdict keeps; rows that share an id are told apart by their text."""
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("_kept_1"))
-    return _only(docs, quality.judge(rows, keep=("doc_id", "_kept_1")).where("kept"), "xxhash64(text)")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    judged = quality.judge(rows, keep=("doc_id", "text_key"))
+    return _only(docs, judged.where("kept").select("doc_id", "text_key"), "xxhash64(text)")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest document of each group that n-gram Jaccard links join."""
     linked = jaccard_join.link(docs.select("doc_id", "text"), percent=75)
-    return _only(docs, linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    return _only(docs, linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,11 +65,11 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents within their group's share of the token budget."""
     sized = with_domain(docs.select("doc_id", "text", "lang", "source"))
     sized = sized.select("doc_id", *MIX_LEVELS, mixing.byte_tokens(F.col("text")).alias("n_tokens"))
-    return _only(docs, mixing.mix(sized, MIX_LEVELS, mix_weights(), share=KEEP_SHARE, max_epochs=ONCE, seed=MIX_SEED))
+    return _only(docs, mixing.mix(sized, MIX_LEVELS, mix_weights(), share=KEEP_SHARE, max_epochs=ONCE, seed=MIX_SEED).select("doc_id"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs.select("doc_id", "text"), pack_tokenizer, capacity=PACK_CAPACITY, end_id=PACK_END_ID)
+    return packing.pack(docs.select("doc_id", "text"), pack_tokenizer, capacity=PACK_CAPACITY)
 
 
 STAGES: list[tuple[str, Stage]] = [
