@@ -8,15 +8,17 @@ capacities summed from the leaves up; sorted by capacity over weight, the full c
 it is closed-form over window sums and needs no iteration.
 
 Each leaf then takes the token-prefix of a stream of seeded epochs: every epoch holds all its documents in
-an order hashed from seed, epoch and document id. Whole epochs become a repeat count; only the last one
+an order hashed from seed, epoch, document id and size. Whole epochs become a repeat count; only the last one
 needs an order. The running sum is taken in two levels (blocks of the hashed order, then rows within the
 block that holds the boundary), so that a leaf with a third of all rows is not one task.
 
 Only DataFrame functions are used.
 
 Defined results: null group values form groups of their own; a null or empty text has ``min_tokens``
-tokens; groups with weight 0 get nothing; ties in the hashed order go to the smaller document id;
-repeated rows are selected together; an empty table gives an empty result.
+tokens; groups with weight 0 get nothing; ties in the hashed order go to the smaller document id, then the
+shorter text; repeated rows stand one behind the other and each counts, so the end of the prefix may take some of
+them; groups are told apart by their values, whatever characters these hold; an empty table gives an empty
+result; columns other than the id, the levels and the size are not looked at.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import settle
+
 
 def byte_tokens(text: Column, bytes_per_token: int = 4, min_tokens: int = 1) -> Column:
     """A token estimate from UTF-8 bytes."""
@@ -91,27 +95,26 @@ def select_prefix(docs: DataFrame, quotas: DataFrame, levels: Sequence[str], see
 
     The last document of the prefix counts up to the quota; documents not taken at all are left out.
     """
-    leaf = F.col("_leaf")
-    name = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in levels])
     quotas = quotas.where(F.col("quota") > 0).select(
-        name.alias("_leaf"),
+        *levels,
         F.floor(F.col("quota") / F.col("tokens")).cast("long").alias("_whole"),
         (F.col("quota") - F.floor(F.col("quota") / F.col("tokens")).cast("long") * F.col("tokens")).alias("_rest"),
         F.greatest(F.lit(1), F.ceil(F.col("rows") / F.lit(block_rows))).cast("long").alias("_blocks"),
     )
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_whole").cast("string"), F.col("doc_id").cast("string")))
-    rows = docs.withColumn("_leaf", name).join(quotas, "_leaf").withColumn("_key", key)
+    # null ids differ in size, so that they are spread, too
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("n_tokens").cast("string")))
+    rows = _match(docs, quotas, levels, "inner").withColumn("_key", key)
     # the first 32 bits of the key, scaled to the leaf's number of blocks
     high = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
     rows = rows.withColumn("_block", F.floor(high * F.col("_blocks") / F.lit(4294967296)).cast("long"))
     # dealt by block, or the running sums within blocks would stay where the join left them, a leaf in one task
-    rows = rows.repartition("_leaf", "_block")
-    sums = rows.groupBy("_leaf", "_block").agg(F.sum("n_tokens").alias("_sum"))
-    before = Window.partitionBy("_leaf").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(leaf, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
-    inner = Window.partitionBy("_leaf", "_block").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.repartition(*levels, "_block")
+    sums = rows.groupBy(*levels, "_block").agg(F.sum("n_tokens").alias("_sum"))
+    before = Window.partitionBy(*levels).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*levels, "_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"))
+    inner = Window.partitionBy(*levels, "_block").orderBy("_key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     at = F.col("_start") + F.coalesce(F.sum("n_tokens").over(inner), F.lit(0))
-    taken = rows.join(sums, ["_leaf", "_block"]).withColumn("_at", at)
+    taken = _match(rows, sums, [*levels, "_block"], "inner").withColumn("_at", at)
     last = (F.col("_at") < F.col("_rest")).cast("long")
     out = taken.withColumn("copies", F.col("_whole") + last).where("copies > 0")
     part = F.when(F.col("_at") < F.col("_rest"), F.least(F.col("n_tokens"), F.col("_rest") - F.col("_at"))).otherwise(0)
@@ -127,6 +130,7 @@ def mix(
 
     ``weights`` maps each level to an integer column over ``levels``.
     """
+    docs = settle(docs.select("doc_id", *levels, "n_tokens"))  # texts are read once, for their sizes
     leaves = docs.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     leaves = leaves.withColumns({f"w_{c}": weights[c].cast("long") for c in levels})
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
