@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import BOUNDS, ROUNDS, RULES, START_BAD_VOTES, START_GOOD
+from .quality import CATCH, GOOD, ROUNDS, RULES, SLIP, WEIGHT
 
 OP1 = r"""
 WITH RECURSIVE docs AS (
@@ -38,7 +38,7 @@ a3 AS (SELECT domain, lang, source, tokens, least(cap, CASE WHEN is_full THEN ca
 q AS (SELECT *, quota // tokens AS whole, quota % tokens AS rest FROM a3 WHERE quota > 0),
 placed AS (
   SELECT d.*, q.whole, q.rest,
-    coalesce(sum(n_tokens) OVER (PARTITION BY d.domain, d.lang, d.source ORDER BY md5('17:' || q.whole || ':' || doc_id), doc_id
+    coalesce(sum(n_tokens) OVER (PARTITION BY d.domain, d.lang, d.source ORDER BY md5('17:' || q.whole || ':' || coalesce(doc_id::VARCHAR, '') || ':' || n_tokens), doc_id, n_tokens
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
   FROM docs d JOIN q ON d.domain IS NOT DISTINCT FROM q.domain AND d.lang IS NOT DISTINCT FROM q.lang AND d.source IS NOT DISTINCT FROM q.source)
 SELECT doc_id, domain, lang, source, n_tokens, (whole + CASE WHEN pos < rest THEN 1 ELSE 0 END)::BIGINT AS copies,
@@ -55,14 +55,13 @@ def quality_ctes(source: str = "documents") -> str:
         f"CASE v[{j}] WHEN -1 THEN ln(g[{j}] / b[{j}]) WHEN 1 THEN ln((1 - g[{j}]) / (1 - b[{j}])) ELSE 0 END" for j in each
     )
     good = f"1 / (1 + exp(-(ln(pi / (1 - pi)) + {odds})))"
-    clamp = lambda x, low, high: f"least({high}::DOUBLE, greatest({low}::DOUBLE, {x}))"
+    prior = f"{WEIGHT}::DOUBLE * any_value(total)"
     rate = lambda j, of, start: (
-        f"(sum(CASE WHEN v[{j}] = -1 THEN n * {of} ELSE 0 END) + {start}::DOUBLE) / (sum(CASE WHEN v[{j}] <> 0 THEN n * {of} ELSE 0 END) + 1)"
+        f"(sum(CASE WHEN v[{j}] = -1 THEN n * {of} ELSE 0 END) + {prior} * {start}::DOUBLE) / (sum(CASE WHEN v[{j}] <> 0 THEN n * {of} ELSE 0 END) + {prior})"
     )
-    gs = ", ".join(clamp(rate(j, "c", RULES[j - 1].slip / 2), BOUNDS["g"][0], RULES[j - 1].slip) for j in each)
-    bs = ", ".join(clamp(rate(j, "(1 - c)", START_BAD_VOTES), *BOUNDS["b"]) for j in each)
-    share = clamp("sum(n * c) / sum(n)", *BOUNDS["pi"])
-    g0, b0 = [r.slip / 2 for r in RULES], [START_BAD_VOTES] * m
+    gs, bs = ", ".join(rate(j, "c", SLIP) for j in each), ", ".join(rate(j, "(1 - c)", CATCH) for j in each)
+    share = f"(sum(n * c) + {prior} * {GOOD}::DOUBLE) / (any_value(total) + {prior})"
+    g0, b0 = [SLIP] * m, [CATCH] * m
     return rf"""
 q_words AS (SELECT doc_id, rn, coalesce(text, '') AS text,
     list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
@@ -77,12 +76,12 @@ q_feat AS (SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '[\
     length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS n_upper, length(regexp_replace(text, '[^!]+', '', 'g')) AS n_shouts
   FROM q_words LEFT JOIN q_cover USING (rn)),
 q_votes AS (SELECT *, [{cols}] AS v FROM q_feat),
-q_pats AS (SELECT v, count(*)::DOUBLE AS n FROM q_votes GROUP BY v),
+q_pats AS (SELECT v, count(*)::DOUBLE AS n, (SELECT count(*) FROM q_votes)::DOUBLE AS total FROM q_votes GROUP BY v),
 q_em AS (
-  SELECT 0 AS it, {START_GOOD}::DOUBLE AS pi, {g0}::DOUBLE[] AS g, {b0}::DOUBLE[] AS b
+  SELECT 0 AS it, {GOOD}::DOUBLE AS pi, {g0}::DOUBLE[] AS g, {b0}::DOUBLE[] AS b
   UNION ALL
   SELECT it + 1, {share}, [{gs}], [{bs}]
-  FROM (SELECT it, v, n, {good} AS c FROM q_em, q_pats WHERE it < {ROUNDS}) GROUP BY it),
+  FROM (SELECT it, v, n, total, {good} AS c FROM q_em, q_pats WHERE it < {ROUNDS}) GROUP BY it),
 q_judged AS (SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
     n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
     NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND {good} >= 0.5 AS kept

@@ -5,6 +5,11 @@ Each rule votes good (1), bad (-1) or abstains (0) on a document. Votes are coun
 estimates how often each rule votes bad on good and on bad documents, and the share of good documents.
 A document is kept when its posterior probability of being good reaches ``keep_at``; no rule alone decides.
 
+Every fault has two rules, a strict and a mild one: rules for different faults seldom agree, so it is the agreement
+within a fault that tells EM which votes go together, and so which class is which. All rules start alike, and one
+prior holds for them all (``SLIP``, ``CATCH``, ``GOOD``, worth ``WEIGHT`` of the documents): it keeps rates off 0 and 1 and leaves
+the rest to the votes. A rule whose votes agree with no other comes out as telling nothing, however strict.
+
 The whole of it is DataFrame and SQL functions: features by array functions within a row (no shuffle of
 texts), one grouped count, and the iterations as one ``aggregate`` over the array of patterns. One row with
 the estimated rates comes back to the driver.
@@ -30,29 +35,29 @@ WINDOW = 5
 
 @dataclass(frozen=True)
 class Rule:
-    """Bad where ``bad`` holds, else good where ``good`` holds, else no vote. SQL over feature columns.
-
-    ``slip`` is the largest share of good documents on which the rule is believed to vote bad.
-    """
+    """Bad where ``bad`` holds, else good where ``good`` holds, else no vote. SQL over feature columns."""
 
     name: str
     bad: str
     good: str
-    slip: float
 
     def vote(self) -> Column:
         return F.expr(f"CASE WHEN {self.bad} THEN -1 WHEN {self.good} THEN 1 ELSE 0 END")
 
 
 RULES: tuple[Rule, ...] = (
-    Rule("length", "n_words < 10", "n_words >= 30", 0.002),
-    Rule("symbols", "10 * n_symbols > 3 * n_words", "20 * n_symbols <= n_words", 0.002),
-    Rule("lines", "10 * n_dup_lines > 3 * n_lines", "10 * n_dup_lines <= n_lines", 0.002),
-    Rule("repeats", "100 * n_repeat_words > 20 * n_words", "100 * n_repeat_words <= 10 * n_words", 0.002),
-    Rule("shouting", "2 * n_upper > word_chars OR 10 * n_shouts > 3 * n_words", "5 * n_upper < word_chars AND 20 * n_shouts <= n_words", 0.002),
-    Rule("word_size", "word_chars < 2 * n_words OR word_chars > 15 * n_words", "word_chars BETWEEN 3 * n_words AND 12 * n_words", 0.002),
-    Rule("short", "n_words < 20", "n_words >= 50", 0.1),
-    Rule("some_repeats", "20 * n_repeat_words > n_words", "n_repeat_words = 0", 0.1),
+    Rule("length", "n_words < 10", "n_words >= 30"),
+    Rule("some_length", "n_words < 20", "n_words >= 50"),
+    Rule("symbols", "10 * n_symbols > 3 * n_words", "20 * n_symbols <= n_words"),
+    Rule("some_symbols", "10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
+    Rule("lines", "10 * n_dup_lines > 3 * n_lines", "10 * n_dup_lines <= n_lines"),
+    Rule("some_lines", "10 * n_dup_lines > n_lines", "n_dup_lines = 0"),
+    Rule("repeats", "100 * n_repeat_words > 20 * n_words", "100 * n_repeat_words <= 10 * n_words"),
+    Rule("some_repeats", "20 * n_repeat_words > n_words", "n_repeat_words = 0"),
+    Rule("shouting", "2 * n_upper > word_chars OR 10 * n_shouts > 3 * n_words", "5 * n_upper < word_chars AND 20 * n_shouts <= n_words"),
+    Rule("some_shouting", "5 * n_upper > word_chars OR 10 * n_shouts > n_words", "10 * n_upper < word_chars AND 50 * n_shouts <= n_words"),
+    Rule("word_size", "word_chars < 2 * n_words OR word_chars > 15 * n_words", "word_chars BETWEEN 3 * n_words AND 12 * n_words"),
+    Rule("some_word_size", "word_chars < 3 * n_words OR word_chars > 12 * n_words", "word_chars BETWEEN 4 * n_words AND 8 * n_words"),
 )
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_shouts")
@@ -110,38 +115,33 @@ def base_failed() -> Column:
     return F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words")
 
 
-#: Starting rates and their bounds: share of good documents, bad votes on good documents (half the rule's
-#: slip, which is also its upper bound) and on bad ones. Rules that catch different faults seldom agree, so
-#: the votes alone don't tell which class is which; the slips do.
-START_GOOD, START_BAD_VOTES = 0.7, 0.3
-BOUNDS = {"pi": (0.5, 0.98), "g": (0.0002, None), "b": (0.05, 0.98)}
-ROUNDS = 25
+#: The prior, which is also where EM starts: how often a rule votes bad on good and on bad documents, and the share of
+#: good ones. It counts like WEIGHT of the documents, at every table size.
+SLIP, CATCH, GOOD, WEIGHT = 0.01, 0.2, 0.8, 0.01
+ROUNDS = 40
 
 
 def estimate(voted: DataFrame, rules: Sequence[Rule], rounds: int = ROUNDS) -> tuple[float, list[float], list[float]]:
     """Share of good documents and each rule's rate of bad votes on good and on bad ones, from ``votes``."""
-    slips = ", ".join(f"{r.slip}D" for r in rules)
-    clamp = lambda x, low, high: f"least({high}, greatest({low}D, {x}))"
     each = f"sequence(0, {len(rules) - 1})"
     patterns = voted.groupBy("votes").agg(F.count(F.lit(1)).cast("double").alias("n"))
     one = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", "n"))).alias("pats"), F.sum("n").alias("total"))
-    one = one.withColumn("slips", F.expr(f"array({slips})"))
     # chance of being good, by pattern
     good = (
         f"transform(pats, p -> 1D / (1D + exp(-(ln(s.pi / (1D - s.pi)) + aggregate({each}, 0D, (a, j) -> a + CASE p.votes[j] "
         "WHEN -1 THEN ln(s.g[j] / s.b[j]) WHEN 1 THEN ln((1D - s.g[j]) / (1D - s.b[j])) ELSE 0D END)))))"
     )
     sums = lambda of, where: f"aggregate(zip_with(pats, q, (p, c) -> CASE WHEN {where} THEN p.n * {of} ELSE 0D END), 0D, (a, x) -> a + x)"
-    rate = lambda of, start: f"({sums(of, 'p.votes[j] = -1')} + {start}) / ({sums(of, 'p.votes[j] <> 0')} + 1D)"
+    prior = f"{WEIGHT}D * total"
+    rate = lambda of, start: f"({sums(of, 'p.votes[j] = -1')} + {prior} * {start}D) / ({sums(of, 'p.votes[j] <> 0')} + {prior})"
     step = (
-        f"transform(array({good}), q -> named_struct('pi', {clamp(sums('c', 'true') + ' / total', BOUNDS['pi'][0], str(BOUNDS['pi'][1]) + 'D')}, "
-        f"'g', transform({each}, j -> {clamp(rate('c', 'slips[j] / 2D'), BOUNDS['g'][0], 'slips[j]')}), "
-        f"'b', transform({each}, j -> {clamp(rate('(1D - c)', f'{START_BAD_VOTES}D'), BOUNDS['b'][0], str(BOUNDS['b'][1]) + 'D')})))[0]"
+        f"transform(array({good}), q -> named_struct('pi', ({sums('c', 'true')} + {prior} * {GOOD}D) / (total + {prior}), "
+        f"'g', transform({each}, j -> {rate('c', SLIP)}), 'b', transform({each}, j -> {rate('(1D - c)', CATCH)})))[0]"
     )
-    start = f"named_struct('pi', {START_GOOD}D, 'g', transform(slips, x -> x / 2D), 'b', array_repeat({START_BAD_VOTES}D, {len(rules)}))"
+    start = f"named_struct('pi', {GOOD}D, 'g', array_repeat({SLIP}D, {len(rules)}), 'b', array_repeat({CATCH}D, {len(rules)}))"
     row = one.where("total > 0").select(F.expr(f"aggregate(sequence(1, {rounds}), {start}, (s, r) -> {step})").alias("s")).first()
     if row is None:
-        return START_GOOD, [r.slip / 2 for r in rules], [START_BAD_VOTES] * len(rules)
+        return GOOD, [SLIP] * len(rules), [CATCH] * len(rules)
     return row.s.pi, list(row.s.g), list(row.s.b)
 
 

@@ -211,6 +211,32 @@ def test_quality_separates_junk(spark, sf):
     assert n.get((0, True), 0) <= 0.1 * n[0, False] and n[1, False] <= 0.1 * n[1, True]
 
 
+def test_estimated_rates_outvote_a_strict_rule(spark, sf):
+    """Rates are no hand-set values, and a vote of a strict rule that agrees with no other is outvoted."""
+    rows = quality.features(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    voted = rows.select("doc_id", "n_words", "n_symbols", F.array(*[r.vote() for r in quality.RULES]).alias("votes"))
+    pi, g, b = quality.estimate(voted.select("votes"), quality.RULES)
+    assert 0.5 < pi < 0.95 and all(x not in (quality.SLIP, quality.CATCH) for x in (*g, *b))
+    names = [r.name for r in quality.RULES]
+    for fault in ("symbols", "lines", "repeats", "shouting"):
+        assert b[names.index(fault)] > 10 * g[names.index(fault)]
+    votes = lambda **bad: F.array(*[F.lit(-1 if n in bad else 1) for n in names])
+    one = spark.range(1)
+    p = lambda **bad: one.select(quality.posterior(votes(**bad), (pi, g, b))).first()[0]
+    assert p(length=1) > 0.5 > p(symbols=1, some_symbols=1) and p() > 0.9
+
+
+def test_groups_are_told_apart_by_value(spark):
+    """Separators and stand-ins for null inside group values; equal rows count one by one."""
+    rows = [(i, a, b, 4) for i, (a, b) in enumerate([("p\x1fq", "r"), ("p", "q\x1fr"), (None, "x"), ("\x00", "x"), ("", "x")] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, a string, b string, n_tokens long")
+    got = mixing.mix(docs, ["a", "b"], {"a": F.lit(1), "b": F.lit(1)}, share=1.0, max_epochs=1, seed=1).collect()
+    assert sorted((r.doc_id, r.a, r.b, r.n_tokens) for r in got) == sorted(rows, key=lambda r: r[0]) and all(r.copies == 1 for r in got)
+    same = spark.createDataFrame([(7, "a", "b", 4)] * 6, docs.schema)
+    got = mixing.mix(same, ["a", "b"], {"a": F.lit(1), "b": F.lit(1)}, share=0.5, max_epochs=1, seed=1).collect()
+    assert len(got) == 3 and sum(r.take_tokens for r in got) == 12
+
+
 def test_no_python_in_native_plans(spark, sf):
     for name in ("op1_mixing", "op3_quality", "op8_url_filter"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().toString()
@@ -303,4 +329,4 @@ def test_toxicity_windows_overlap_by_half():
 
 def test_quality_rates_without_documents(spark, odd_docs):
     empty = quality.features(odd_docs.limit(0)).select(F.array(*[r.vote() for r in quality.RULES]).alias("votes"))
-    assert quality.estimate(empty, quality.RULES)[0] == quality.START_GOOD
+    assert quality.estimate(empty, quality.RULES)[0] == quality.GOOD
