@@ -17,9 +17,10 @@ link when ``100 * intersection >= 75 * union``; the result names each document's
    compared pair by pair. A large one is indexed anew by what its members do not share: x and y link when
    ``|x ^ y|`` is small, and ``|x ^ y| = |x ^ p| + |y ^ p| - 2 |(x ^ p) & (y ^ p)|`` for the pivot p, so two members that are
    not both linked to p must share a large part of their differences from p. Prefixes of these differences (what a
-   member adds to p, then what it lacks) give the keys of the next round. Each round makes pairs in proportion to
-   its rows; no group is expanded into all its pairs and nothing is capped. A key's pivot comes before its other
-   members in one fixed order, so pivots move on and the rounds end. Pairs are verified exactly.
+   member adds to p, then what it lacks) are indexed, and a pair is made only where enough of both differences is
+   left from the shared shingle on. Keys of very many members go to a pivot again. No large group is expanded into
+   all its pairs and nothing is capped. A key's pivot comes before its other members in one fixed order, so
+   pivots move on and the rounds end. Pairs are verified exactly.
 
 Defined results: null, empty and blank texts have an empty set and their own component; rows with one id
 are one node; a null id is a node that comes last; an empty table gives an empty result.
@@ -237,18 +238,13 @@ def all_tokens(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(made, "h long, doc_id long, late int")
 
 
-def several(postings: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """``(key, doc_id, size)`` of ``postings(key, doc_id)`` under keys that several documents have (of several components,
-    if ``labels`` are given).
+def several(postings: DataFrame) -> DataFrame:
+    """``(key, doc_id, size)`` of ``postings(key, doc_id)`` under keys that several documents have.
 
     Keys that list the same documents are one; a set of documents is told by its size and two sums of hashes.
     """
     told = [F.sum(F.xxhash64("doc_id", F.lit(i)).cast("decimal(20,0)")).alias(f"t{i}") for i in (1, 2)]
-    rows, wanted = postings, F.col("size") > 1
-    if labels is not None:
-        rows, wanted = postings.join(labels, "doc_id"), F.col("low") < F.col("high")
-        told += [F.min("component").alias("low"), F.max("component").alias("high")]
-    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *told).where(wanted)
+    keys = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *told).where("size > 1")
     return postings.join(keys.groupBy("size", "t1", "t2").agg(F.min("key").alias("key")).select("key", "size"), "key")
 
 
@@ -259,8 +255,8 @@ def shared_keys(tokens: DataFrame, reps: DataFrame) -> DataFrame:
     return several(settle(index_keys(lists.join(reps, "doc_id"))))
 
 
-def difference_prefixes(x: np.ndarray, p: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
-    """``(class, class, prefix)``: prefixes of ``x ^ p`` by class of x and class of the partner, smaller class first.
+def difference_prefixes(x: np.ndarray, p: np.ndarray, percent: int) -> tuple[int, np.ndarray, list[tuple[int, int, int]]]:
+    """``g, x ^ p, [(class, class, prefix length)]``: one prefix for each class of partners, the smaller class first.
 
     Sets link when ``wide |x ^ y| <= close (|x| + |y|)`` with wide = 100 + percent and close = 100 - percent. With a = |x ^ p| and
     b = |y ^ p| the differences then share at least t = (g(x) + g(y)) / 2 wide, where g(x) = wide a - close |x|, and so
@@ -279,38 +275,44 @@ def difference_prefixes(x: np.ndarray, p: np.ndarray, percent: int) -> list[tupl
     for partner in range(low // step, high // step + 1):
         t = max(1, -(-(g + max(partner * step, low)) // (2 * wide)))
         if t <= a:
-            out.append((min(partner, g // step), max(partner, g // step), changed[: a - t + 1]))
-    return out
+            out.append((min(partner, g // step), max(partner, g // step), a - t + 1))
+    return g, changed, out
 
 
 def difference_keys(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``(key, doc_id)``: index keys of the members of ``stars(pivot, doc_id)`` by their differences from the pivot."""
+    """``(key, doc_id, g, rest)``: the members of ``stars(pivot, doc_id)`` indexed by their differences from the pivot.
+
+    ``rest`` is how much of the difference is left from the key's shingle on, that one included.
+    """
     one = sets.select("doc_id", F.col("shingles").alias("x"))
     two = sets.select(F.col("doc_id").alias("pivot"), F.col("shingles").alias("p"))
+    names = ["key", "doc_id", "g", "rest"]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                keys, counts = [np.empty(0, dtype=U)], []
+                keys, rests, gs, counts = [np.empty(0, dtype=U)], [np.empty(0, dtype=np.int64)], [], []
                 for pivot, x, p in zip(part.column("pivot").to_pylist(), part.column("x"), part.column("p"), strict=True):
-                    x, p = np.frombuffer(x.as_py(), dtype=U), np.frombuffer(p.as_py(), dtype=U)
-                    found = difference_prefixes(x, p, percent)
+                    g, changed, found = difference_prefixes(np.frombuffer(x.as_py(), dtype=U), np.frombuffer(p.as_py(), dtype=U), percent)
                     place = _mix(np.array([(pivot, one, two) for one, two, _ in found], dtype=np.int64).reshape(-1, 3).view(U))
                     place = _mix(_mix(place[:, 0] + place[:, 1] * U(3)) + place[:, 2])
-                    sizes = [len(prefix) for *_, prefix in found]
-                    keys.append(_mix(np.concatenate([np.empty(0, dtype=U), *(prefix for *_, prefix in found)]) ^ np.repeat(place, sizes)))
+                    sizes = [size for *_, size in found]
+                    keys += [_mix(changed[:size] ^ here) for here, size in zip(place, sizes, strict=True)]
+                    rests += [len(changed) - np.arange(size) for size in sizes]
+                    gs.append(g)
                     counts.append(sum(sizes))
-                ids = np.repeat(part.column("doc_id").to_numpy(), counts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids)], ["key", "doc_id"])
+                ids, gs = (np.repeat(np.array(c, dtype=np.int64), counts) for c in (part.column("doc_id").to_numpy(), gs))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids), pa.array(gs), pa.array(np.concatenate(rests))], names)
 
-    return stars.join(one, "doc_id").join(two, "pivot").mapInArrow(made, "key long, doc_id long").distinct()
+    return stars.join(one, "doc_id").join(two, "pivot").mapInArrow(made, "key long, doc_id long, g long, rest long")
 
 
-def link(docs: DataFrame, *, percent: int = 75, few: int = 32) -> DataFrame:
+def link(docs: DataFrame, *, percent: int = 75, few: int = 64, many: int = 512) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for each row of ``docs(doc_id, text)``.
 
-    Groups of up to ``few`` documents are compared pair by pair.
+    Groups of up to ``few`` documents are compared pair by pair, and keys of differences of up to ``many`` where the place
+    of the shared shingle allows it.
     """
     if percent < 75:
         raise ValueError("prefixes are laid out for similarities of 0.75 and more")
@@ -330,31 +332,32 @@ def link(docs: DataFrame, *, percent: int = 75, few: int = 32) -> DataFrame:
     weight = settle(kept.groupBy("doc_id").agg((-F.sum("size")).alias("w")))
     labels = settle(weight.select("doc_id", F.col("doc_id").alias("component")))
 
-    def compared(groups: DataFrame) -> DataFrame:
-        """``labels`` after all pairs within small groups ``(group, doc_id)``."""
-        rows = groups.join(labels, "doc_id").select("group", F.col("doc_id").alias("a"), "component")
-        other = rows.select("group", F.col("a").alias("b"), F.col("component").alias("_component"))
-        pairs = rows.join(other, "group").where("component <> _component AND a < b").select("a", "b").distinct()
+    def compared(rows: DataFrame, on: str, allowed: str = "true") -> DataFrame:
+        """``labels`` after the pairs of ``rows(on, doc_id, ...)`` that have the same ``on``; columns of the second: _name."""
+        rows = rows.join(labels, "doc_id")
+        other = rows.withColumnsRenamed({c: f"_{c}" for c in rows.columns if c != on})
+        pairs = rows.join(other, on).where(f"component <> _component AND doc_id < _doc_id AND {allowed}")
+        pairs = pairs.select(F.col("doc_id").alias("a"), F.col("_doc_id").alias("b")).distinct()
         return merged(labels, similar(pairs, sets, percent))
 
-    keyed, first = kept, True
+    keyed = kept
     while True:
-        # at first keys are many and alike, and all go to their pivot; later, small ones are compared at once
-        if not first:
-            labels = compared(keyed.where(F.col("size") <= few).select(F.col("key").alias("group"), "doc_id"))
-            keyed = keyed.where(F.col("size") > few)
         heads = keyed.join(weight, "doc_id").groupBy("key").agg(F.min(F.struct("w", "doc_id")).alias("head"))
         stars = keyed.join(heads, "key").select(F.col("head.doc_id").alias("pivot"), "doc_id").where("pivot <> doc_id").distinct()
         stars = settle(stars)
-        if stars.isEmpty():
-            break
         pairs = stars.select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
         labels = merged(labels, similar(across(pairs, labels).select("a", "b"), sets, percent))
         groups = stars.join(labels, "doc_id").groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
         members = settle(stars.join(groups.where("low < high").select("pivot", "size"), "pivot"))
-        labels = compared(members.where(F.col("size") <= few).select(F.col("pivot").alias("group"), "doc_id"))
+        labels = compared(members.where(F.col("size") <= few).select("pivot", "doc_id"), "pivot")
         large = members.where(F.col("size") > few).select("pivot", "doc_id")
-        keyed, first = settle(several(settle(difference_keys(large, sets, percent)), labels)), False
+        if large.isEmpty():
+            break
+        postings = settle(difference_keys(large, sets, percent))
+        keys = postings.join(labels, "doc_id").groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+        keyed = settle(postings.join(keys.where("low < high").select("key", "size"), "key"))
+        labels = compared(keyed.where(F.col("size") <= many).select("key", "doc_id", "g", "rest"), "key", f"g + _g <= {2 * (100 + percent)} * least(rest, _rest)")
+        keyed = keyed.where(F.col("size") > many).select("key", "doc_id")
         if keyed.isEmpty():
             break
     out = named.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left")
