@@ -4,7 +4,8 @@ Vectors are projected to a few dimensions, several times over with another rotat
 projection is ordered along a Hilbert curve. The orderings are range-partitioned and sorted in Spark; a query's
 candidates are the rows within a window of its place in each ordering. Windows are searched in blocks of the
 order: a block's rows are compared with the queries whose window reaches into it, exactly and in double
-precision, and only each query's best ``k`` leave the block; the blocks' lists are merged and ranked.
+precision, and only each query's best ``k`` leave the block; the blocks' lists are merged and ranked. Queries of a block
+are dealt over as many groups as it takes to hold at most about ``block`` of them in each.
 
 The projections are fitted on at most ``SAMPLE`` vectors (the smallest by hashed id): their principal axes and
 ranges. Every vector is indexed. The window is ``share`` of all rows on either side, at every size; ``least`` only
@@ -14,7 +15,7 @@ What recall that gives depends on the data and is measured in the tests and the
 Defined results: vectors that are null or zero, or hold null or non-finite components, or differ in length
 from the sample's usual length take no part; a query never finds its own row, but finds copies of it; ties go
 to the smaller id; with fewer candidates than ``k`` all found are returned; an empty table gives an empty result;
-of rows that repeat an id one is indexed.
+rows that repeat an id are rows of their own: each is a candidate, and each query row has its own list.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import ranked, settle, spread
 
 SAMPLE = 4096
-DIMENSIONS, BITS, AXES = 4, 10, 12
+#: A curve runs through at most DIMENSIONS dimensions, with KEY_BITS bits for all of them together.
+DIMENSIONS, KEY_BITS, MOST_BITS, AXES = 20, 60, 10, 64
 
 
 def usable(embedding: Column) -> Column:
@@ -75,6 +77,7 @@ class Curves:
         _, _, axes = np.linalg.svd(sample - self.mean, full_matrices=False)
         axes = axes[: min(AXES, len(axes))]
         d = min(DIMENSIONS, len(axes))
+        self.bits = min(MOST_BITS, KEY_BITS // d)
         self.projections = []
         for _ in range(orderings):
             turn, _ = np.linalg.qr(rng.normal(size=(len(axes), len(axes))))
@@ -87,37 +90,37 @@ class Curves:
     def keys(self, vectors: np.ndarray) -> list[np.ndarray]:
         out = []
         for p, low, wide in self.projections:
-            cells = ((vectors - self.mean) @ p.T - low) / wide * (1 << BITS)
-            out.append(hilbert_keys(np.clip(cells, 0, (1 << BITS) - 1).astype(np.int64), BITS))
+            cells = ((vectors - self.mean) @ p.T - low) / wide * (1 << self.bits)
+            out.append(hilbert_keys(np.clip(cells, 0, (1 << self.bits) - 1).astype(np.int64), self.bits))
         return out
 
 
-_NONE = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+_NONE = pd.DataFrame({"query": pd.Series(dtype="int64"), "row": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
 
 def best(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     """Each query's ``k`` nearest of the rows within its window; exact distances."""
     q, x = (np.stack(t["embedding"].to_numpy()).astype(np.float64) for t in (queries, rows))
-    ids, places = rows["vec_id"].to_numpy(), rows["place"].to_numpy()
+    ids, own_rows, places = rows["vec_id"].to_numpy(), rows["row"].to_numpy(), rows["place"].to_numpy()
     found = []
-    for at, own, low, high in zip(q, queries["query_id"], queries["low"], queries["high"], strict=True):
-        there = np.flatnonzero((places >= low) & (places <= high) & (ids != own))
+    for at, own, low, high in zip(q, queries["query"], queries["low"], queries["high"], strict=True):
+        there = np.flatnonzero((places >= low) & (places <= high) & (own_rows != own))
         if len(there):
             score = np.sqrt(((x[there] - at) ** 2).sum(1))
-            top = np.lexsort((ids[there], score))[:k]
-            found.append(pd.DataFrame({"query_id": own, "vec_id": ids[there][top], "score": score[top]}))
+            top = np.lexsort((own_rows[there], ids[there], score))[:k]
+            found.append(pd.DataFrame({"query": own, "row": own_rows[there][top], "vec_id": ids[there][top], "score": score[top]}))
     return pd.concat(found) if found else _NONE
 
 
 def search(
-    vectors: DataFrame, is_query: Column, *, k: int = 10, orderings: int = 12, share: float = 0.08, least: int = 10, block: int = 2000, seed: int = 7
+    vectors: DataFrame, is_query: Column, *, k: int = 10, orderings: int = 16, share: float = 0.025, least: int = 10, block: int = 2000, seed: int = 7
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: nearest found of ``vectors(vec_id, embedding)`` for the rows ``is_query``."""
-    good = vectors.select("vec_id", "embedding").where(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
-    sample = [r.embedding for r in good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()]
-    schema = "query_id long, rank int, vec_id long, score double"
+    good = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", "embedding", is_query.alias("asks"))
+    good = settle(good.withColumn("row", F.monotonically_increasing_id()))  # numbered once: what follows reads the checkpoint
+    sample = [r.embedding for r in good.orderBy(F.xxhash64("vec_id"), "vec_id", "row").select("embedding").limit(SAMPLE).collect()]
     if not sample:
-        return vectors.sparkSession.createDataFrame([], schema)
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lengths, counts = np.unique([len(v) for v in sample], return_counts=True)
     width = int(lengths[counts.argmax()])
     curves = Curves(np.array([v for v in sample if len(v) == width], dtype=np.float64), orderings, seed)
@@ -128,26 +131,30 @@ def search(
             for at in range(0, len(pdf), 4096):
                 part = pdf.iloc[at : at + 4096]
                 for o, key in enumerate(curves.keys(np.stack(part["embedding"].to_numpy()).astype(np.float64))):
-                    yield pd.DataFrame({"ordering": np.int32(o), "key": key, "vec_id": part["vec_id"].to_numpy()})
+                    yield pd.DataFrame({"ordering": np.int32(o), "key": key, "row": part["row"].to_numpy()})
 
-    placed = good.mapInPandas(place, "ordering int, key long, vec_id long").dropDuplicates(["ordering", "vec_id"])
     parts = spread(vectors.sparkSession)
-    placed = ranked(placed, ["ordering", "key", "vec_id"], parts)
-    n = placed.count() // orderings
+    placed = ranked(good.select("row", "embedding").mapInPandas(place, "ordering int, key long, row long"), ["ordering", "key", "row"], parts)
+    n, n_queries = good.agg(F.count(F.lit(1)), F.count(F.when(F.col("asks"), 1))).first()
     window = max(least, int(share * n))
     # places run on from one ordering to the next; a block never holds two
-    placed = placed.withColumn("place", F.col("rank") - F.col("ordering") * F.lit(n)).select("ordering", "vec_id", "place")
-    placed = settle(placed.join(good.dropDuplicates(["vec_id"]), "vec_id"))
-    blocks = placed.withColumn("block", F.floor(F.col("place") / block))
+    placed = placed.withColumn("place", F.col("rank") - F.col("ordering") * F.lit(n)).select("ordering", "row", "place")
+    placed = settle(placed.join(good, "row"))
+    salts = max(1, -(-n_queries * min(n, 2 * window + block) // (n * block)))  # groups for the queries of a block
+    blocks = placed.select("ordering", "row", "vec_id", "place", "embedding", F.floor(F.col("place") / block).alias("block"))
+    blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     low, high = F.greatest(F.lit(0), F.col("place") - window), F.least(F.lit(n - 1), F.col("place") + window)
-    asked = placed.where(is_query).select("ordering", F.col("vec_id").alias("query_id"), "embedding", low.alias("low"), high.alias("high"))
+    asked = placed.where("asks").select("ordering", F.col("row").alias("query"), "embedding", low.alias("low"), high.alias("high"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / block), F.floor(F.col("high") / block))))
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64("query"), F.lit(salts)))
 
     def in_block(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         return best(queries, rows, k) if len(queries) and len(rows) else _NONE
 
-    found = asked.groupBy("ordering", "block").cogroup(blocks.groupBy("ordering", "block")).applyInPandas(in_block, "query_id long, vec_id long, score double")
-    lists = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct("score", "vec_id"))), 1, k).alias("best"))
+    by = ["ordering", "block", "salt"]
+    found = asked.groupBy(*by).cogroup(blocks.groupBy(*by)).applyInPandas(in_block, "query long, row long, vec_id long, score double")
+    lists = found.groupBy("query").agg(F.slice(F.array_sort(F.collect_set(F.struct("score", "vec_id", "row"))), 1, k).alias("best"))
+    lists = lists.join(good.where("asks").select(F.col("row").alias("query"), F.col("vec_id").alias("query_id")), "query")
     return lists.select("query_id", F.posexplode("best")).select(
         "query_id", (F.col("pos") + 1).alias("rank"), F.col("col.vec_id").alias("vec_id"), F.col("col.score").alias("score")
     )
