@@ -8,8 +8,7 @@ precision, and only each query's best ``k`` leave the block; the blocks' lists a
 are dealt over as many groups as it takes to hold at most about ``block`` of them in each.
 
 The projections are fitted on at most ``SAMPLE`` vectors (the smallest by hashed id): their principal axes and
-ranges. Every vector is indexed. The window is ``share`` of all rows on either side, at every size; ``least`` only
-keeps it from being smaller than the list of ``k`` it must fill, below 125 rows at the usual share.
+ranges. Every vector is indexed. The window is ``rows`` rows and ``share`` of all rows on either side, at every size.
 What recall that gives depends on the data and is measured in the tests and the README.
 
 Defined results: vectors that are null or zero, or hold null or non-finite components, or differ in length
@@ -113,7 +112,7 @@ def best(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def search(
-    vectors: DataFrame, is_query: Column, *, k: int = 10, orderings: int = 16, share: float = 0.025, least: int = 10, block: int = 2000, seed: int = 7
+    vectors: DataFrame, is_query: Column, *, k: int = 10, orderings: int = 16, rows: int = 50, share: float = 0.026, block: int = 2000, seed: int = 7
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: nearest found of ``vectors(vec_id, embedding)`` for the rows ``is_query``."""
     good = vectors.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select("vec_id", "embedding", is_query.alias("asks"))
@@ -136,7 +135,7 @@ def search(
     parts = spread(vectors.sparkSession)
     placed = ranked(good.select("row", "embedding").mapInPandas(place, "ordering int, key long, row long"), ["ordering", "key", "row"], parts)
     n, n_queries = good.agg(F.count(F.lit(1)), F.count(F.when(F.col("asks"), 1))).first()
-    window = max(least, int(share * n))
+    window = rows + int(share * n)
     # places run on from one ordering to the next; a block never holds two
     placed = placed.withColumn("place", F.col("rank") - F.col("ordering") * F.lit(n)).select("ordering", "row", "place")
     placed = settle(placed.join(good, "row"))

@@ -306,6 +306,57 @@ def test_toxicity_windows_cover_long_texts():
     assert toxicity.train([], []).probability(np.zeros(2)).tolist() == [0.05, 0.05]
 
 
+def test_toxicity_scores_against_a_plain_loop(spark, odd_docs):
+    """Every word and every window by itself, step by step in double precision."""
+    net = toxicity.train(["bad words here " * 6] * 8 + ["good text now " * 6] * 8, [1] * 8 + [0] * 8, rounds=1)
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def window(words):
+        x = []
+        for w in words:
+            marked = [ord(c) for c in f"\x02{w}\x03"]
+            grams = [(a * 961 + b * 31 + c) * 2654435761 % 4294967296 % toxicity.TRIGRAMS for a, b, c in zip(marked, marked[1:], marked[2:])]
+            x.append(np.concatenate([p["words"][net.vocabulary.get(w, 0)], p["chars"][grams].mean(0)]))
+        states = np.zeros((len(x), 2 * toxicity.HIDDEN))
+        for way, at, order in (("f", 0, range(len(x))), ("b", toxicity.HIDDEN, range(len(x) - 1, -1, -1))):
+            h = np.zeros(toxicity.HIDDEN)
+            for t in order:
+                given = x[t] @ p[f"{way}_in"] + p[f"{way}_bias"]
+                z, r = np.split(sigmoid(given[: 2 * toxicity.HIDDEN] + h @ p[f"{way}_gates"]), 2)
+                h = h + z * (np.tanh(given[2 * toxicity.HIDDEN :] + (r * h) @ p[f"{way}_new"]) - h)
+                states[t, at : at + toxicity.HIDDEN] = h
+        weight = np.exp(np.tanh(states @ p["att"] + p["att_bias"]) @ p["att_out"])
+        return (weight / weight.sum()) @ states @ p["out"] + p["bias"][0]
+
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect() if r.text and len(r.text) < 5000] + [(50, "good text now " * 40 + "bad words here " * 9 + "fine " * 70)]
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), net, 0.3).collect()}
+    seen = 0
+    for i, text in rows:
+        words = toxicity.words_of(text)
+        if words:
+            logit = max(window(words[s : s + toxicity.WINDOW]) for s in toxicity.window_starts(len(words)))
+            assert abs(got[i] - sigmoid(net.scale * logit + net.shift)) < 1e-4, i
+            seen += 1
+    assert seen > 8
+
+
+def test_toxicity_without_rows(spark, odd_docs, folder):
+    labels = spark.createDataFrame([(1, 1, 0), (4, None, 1)], "doc_id long, quality int, toxic int")
+    assert QUERIES["op4_toxicity"](spark, folder(documents=odd_docs.limit(0), labels=labels)).count() == 0
+
+
+def test_toxicity_of_odd_rows(spark, odd_docs, folder):
+    """One labelled id on many rows, null texts, no labels of one class: every row has a score, equal rows the same."""
+    labels = spark.createDataFrame([(4, 1, 0), (4, 1, 0), (9, 0, 1), (None, 0, 1), (6, 1, None)], "doc_id long, quality int, toxic int")
+    docs = odd_docs.unionByName(odd_docs.where("doc_id = 4"))
+    rows = QUERIES["op4_toxicity"](spark, folder(documents=docs, labels=labels)).collect()
+    assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
+    assert len({r.score for r in rows if r.doc_id == 4}) == 1
+    texts, y = toxicity.training_sample(docs.select("doc_id", "text"), labels.select("doc_id", F.col("toxic").alias("label")), F.lit(True))
+    assert len(texts) == 2 and sorted(y) == [0, 1]
+
+
 def test_toxicity_reads_long_runs_whole():
     """A run of letters is cut into overlapping pieces; what stands after the 40th letter counts."""
     run = "".join(chr(0x4E00 + k) for k in range(203))

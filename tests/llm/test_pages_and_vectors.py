@@ -96,6 +96,17 @@ def test_longest_common_subsequence():
         assert len(html_text.shared_lines(a, b)) == best[-1, -1]
 
 
+def test_registered_domains(spark):
+    from millrace.llm.url_filter import domain_of, suffix_of
+
+    want = {
+        "a.b.com": ("b.com", "com"), "x.a.co.uk": ("a.co.uk", "co.uk"), "b.co.uk": ("b.co.uk", "co.uk"), "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"),
+        "spam.net:8080": ("spam.net", "net"), "me@spam.net.": ("spam.net", "net"), "localhost": ("localhost", "localhost"), "": ("", ""), "[::1]:80": ("[::1]", "[::1]"), "com.fr": ("com.fr", "fr"),
+    }
+    df = spark.createDataFrame([(h,) for h in want], "host string")
+    assert {r.host: (r.d, r.s) for r in df.select("host", domain_of(F.col("host")).alias("d"), suffix_of(F.col("host")).alias("s")).collect()} == want
+
+
 def brute(ids, x, k=10):
     out = {}
     for q in ids[ids % 100 == 0]:
@@ -147,7 +158,7 @@ def test_small_windows_find_most(spark):
     x = rng.normal(size=(20, 6))[rng.integers(0, 20, 3000)] + 0.05 * rng.normal(size=(3000, 6))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     want = brute(np.arange(3000), x)
-    got = found(hilbert_ann.search(df, F.col("vec_id") % 100 == 0, share=0.02, least=20, block=64))
+    got = found(hilbert_ann.search(df, F.col("vec_id") % 100 == 0, rows=20, share=0.02, block=64))
     assert sum(len({i for i, _ in want[q]} & {i for i, _ in got.get(q, [])}) for q in want) >= 0.9 * 300
 
 
@@ -156,10 +167,21 @@ def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (None, [1.0, 1.0]), (100, [0.0, 1.0]), (200, []), (2, [1.0, 0.1])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, rank int")
     got = found(hilbert_ann.search(df, F.col("vec_id") % 100 == 0))
-    assert [i for i, _ in got[0]] == [1, 2, 100] and [i for i, _ in got[100]] == [2, 0, 1] and set(got) == {0, 100}
+    assert [i for i, _ in got[0]] == [1, 2, 2, 100] and [i for i, _ in got[100]] == [2, 2, 0, 1] and set(got) == {0, 100}
     assert hilbert_ann.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_candidates(spark):
+    df = spark.createDataFrame([(100, [1.0, 0.0]), (1, [1.0, 0.5]), (1, [1.0, 0.2]), (1, [1.0, 0.2]), (7, [3.0, 3.0])], "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id, round(r.score, 6)) for r in hilbert_ann.search(df, F.col("vec_id") % 100 == 0).orderBy("rank").collect()]
+    assert got == [(1, 1, 0.2), (2, 1, 0.2), (3, 1, 0.5), (4, 7, 3.605551)]
+    # queries dealt over several groups find the same
+    x = np.random.default_rng(2).normal(size=(900, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    one, many = (found(hilbert_ann.search(df, F.lit(True), block=b)) for b in (2000, 16))
+    assert one == many
+
+
 def test_hilbert_order_is_a_walk():
     side = 1 << 3
     cells = np.array([(a, b, c) for a in range(side) for b in range(side) for c in range(side)])
