@@ -98,8 +98,12 @@ rules AS (SELECT *, split_part(rule, '/', 1) AS h, substr(rule, position('/' IN
   ('allow', 'org/'), ('block', 'example.org/es/'), ('block', 'example.org/en/1'), ('allow', 'com/fr/'), ('block', 'com/de/')) t(verdict, rule)),
 fits AS (SELECT page_id, host, path, rule, verdict FROM parsed, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
 ruled AS (SELECT DISTINCT page_id, arg_max(rule, length(rule)) OVER (PARTITION BY page_id) AS rule, arg_max(verdict, length(rule)) OVER (PARTITION BY page_id) AS verdict FROM fits),
-hosts AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
-  FROM parsed LEFT JOIN (SELECT doc_id, (quality = 0 OR toxic = 1)::BIGINT AS bad FROM labels WHERE (quality = 0 OR toxic = 1) IS NOT NULL) ON page_id = doc_id GROUP BY host),
+hosts AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, 
+    CASE WHEN is_address THEN name ELSE array_to_string(string_split(name, '.')[-(2 + two):], '.') END AS domain,
+    CASE WHEN is_address THEN name ELSE array_to_string(string_split(name, '.')[-(1 + two):], '.') END AS suffix
+  FROM (SELECT *, regexp_matches(name, '^([0-9]{1,3}\.){3}[0-9]{1,3}$|^\[.*\]$') AS is_address,
+    regexp_matches(name, '\.(ac|co|com|edu|gob|gouv|gov|go|ltd|me|mil|ne|net|nom|or|org|plc|sch)\.[a-z][a-z]$')::INT AS two
+    FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\.+$', '') AS name FROM parsed)) LEFT JOIN (SELECT doc_id, (quality = 0 OR toxic = 1)::BIGINT AS bad FROM labels WHERE (quality = 0 OR toxic = 1) IS NOT NULL) ON page_id = doc_id GROUP BY host, name, is_address, two),
 domains AS (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
 stats AS (SELECT lvl, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, count(*) AS k, sum(n::DOUBLE * n) AS sq, sum(bad::DOUBLE * bad / n) AS ratio, (sum(bad) + 1) / (sum(n) + 2) AS p

@@ -9,7 +9,8 @@ posterior bound of its bad rate exceeds ``threshold``.
 Only DataFrame functions are used. What reaches the driver is one row of level statistics.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and is judged by the prior
-of the empty host; null outcomes count as unlabelled; an empty outcome table leaves the overall prior
+of the empty host; ports, user names and closing dots belong to a host's name but not to its domain; addresses have
+no parent but the overall rate; null outcomes count as unlabelled; an empty outcome table leaves the overall prior
 (1 bad in 2) with an uncertain bound, so nothing is blocked; repeated rows are judged alike.
 """
 
@@ -21,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,13 +52,34 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)([^?#]*)", 2)
 
 
+#: Second-level labels under which registries of two-letter country suffixes sell names (``co.uk``, ``com.au``).
+SHARED = ("ac", "co", "com", "edu", "gob", "gouv", "gov", "go", "ltd", "me", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+
+
+def name_of(host: Column) -> Column:
+    """The host without user, port and a closing dot."""
+    return F.regexp_replace(host, r"^.*@|:[0-9]*$|\.+(?=(:[0-9]*)?$)", "")
+
+
+def _is_address(name: Column) -> Column:
+    return name.rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$|^\[.*\]$")
+
+
 def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    """The registry's suffix: the last label, or the last two where a country's registry sells names below its second level.
+
+    An address is a suffix of its own, as are names of one label.
+    """
+    name = name_of(host)
+    two = name.rlike(rf"\.({'|'.join(SHARED)})\.[a-z][a-z]$")
+    return F.when(_is_address(name), name).when(two, F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
 
 
 def domain_of(host: Column) -> Column:
-    """The suffix and one label more."""
-    return F.substring_index(host, ".", -2)
+    """The registered domain: the suffix and one label more; an address as it is."""
+    name = name_of(host)
+    two = name.rlike(rf"\.({'|'.join(SHARED)})\.[a-z][a-z]$")
+    return F.when(_is_address(name), name).when(two, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
 
 
 def matching_rule(host: Column, path: Column, rules: Sequence[Rule], field: str) -> Column:
@@ -94,6 +118,7 @@ def host_reputation(
         .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
         .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
     )
+    hosts = settle(hosts)  # one row for each host, read again at every level
     domains = hosts.groupBy("domain").agg(F.sum("n").alias("n_domain"), F.sum("bad").alias("bad_domain"), F.first("suffix").alias("suffix"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n_domain").alias("n_suffix"), F.sum("bad_domain").alias("bad_suffix"))
 
