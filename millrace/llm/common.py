@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,13 +15,16 @@ SPACE = r"\x20\x09-\x0D"
 def settle(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
 
-    A folder of our own is set only where the session names none, as in tests. The checkpoint is all that later
+    Where the session names no folder, one is made only if driver and executors share a machine (``local[...]``), as in
+    tests; elsewhere each executor would write to its own disk, so that is an error. The checkpoint is all that later
     steps read, so the shuffle files that made it are removed at once and do not add up over a long job.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
     tidy = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(tidy, "false")

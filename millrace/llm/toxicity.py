@@ -8,7 +8,7 @@ a logistic layer scores the window. A document's score is that of its most toxic
 calibrated by a logistic curve to a probability.
 
 Everything is numpy: training by back-propagation through time and Adam on the driver, over at most
-``TRAIN_POSITIVE`` and ``TRAIN_NEGATIVE`` labelled documents (the smallest by hashed id); scoring in Arrow batches
+``TRAIN_POSITIVE`` and ``TRAIN_NEGATIVE`` labelled documents (the smallest by hashed id, of up to ``SAMPLE_CHARS`` characters each); scoring in Arrow batches
 on the executors. Documents are labelled as a whole, so training picks windows: at first those whose words
 lean most towards the toxic class, then those that the network itself scores highest, and random ones.
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_POSITIVE, TRAIN_NEGATIVE = 700, 1500
+TRAIN_POSITIVE, TRAIN_NEGATIVE, SAMPLE_CHARS = 700, 1500, 20_000
 VOCABULARY, TRIGRAMS = 4000, 4096
 WORD, CHAR, HIDDEN, ATTENTION = 8, 8, 8, 8
 WINDOW, STRIDE = 32, 16
@@ -313,10 +313,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, usable: Column, positive
     known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & usable)
     picked = None
     for label, most in ((1, positive), (0, negative)):
-        some = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        some = known.where(F.col("label") == label).select("doc_id", "label").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = some if picked is None else picked.union(some)
-    # at most positive + negative ids: small enough to send to every task, whatever the corpus
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label").collect()
+    # at most positive + negative ids: small enough to send to every task, whatever the corpus. Of rows that share an
+    # id one is learnt from; texts over SAMPLE_CHARS characters are not learnt from, only scored
+    text = F.coalesce("text", F.lit(""))
+    found = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "label", text.alias("text")).where(F.length("text") <= SAMPLE_CHARS)
+    rows = found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text or "", r.label))
     return [r.text for r in rows], [int(r.label) for r in rows]
 
