@@ -15,7 +15,7 @@ import pyarrow as pa
 U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -120,7 +120,7 @@ class Slice:
 
 
 def slices(texts: pa.Array) -> Iterator[Slice]:
-    """The rows of a batch in slices of about a megabyte of text, a longer text alone."""
+    """The rows of a batch in slices of about a quarter of a megabyte of text, a longer text alone."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if not len(texts):
