@@ -13,6 +13,7 @@ import re
 import time
 import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Any, Protocol
 
@@ -20,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.json_records import WRAPPERS
+
 SYSTEM_PROMPT = "Extract every record that fits the given JSON schema from the text. Answer with a JSON array of objects and nothing else; use null for what the text does not say, and [] if it holds no record."
 USER_TEMPLATE = "Schema:\n```json\n{schema}\n```\n\nText:\n{text}\n\nAnswer with the JSON array only."
 REPAIR_TEMPLATE = "This answer does not fit the schema.\n\nProblem: {error}\n\nAnswer:\n```json\n{answer}\n```\n\nSchema:\n```json\n{schema}\n```\n\nSend the corrected JSON array only."
-#: Keys under which an answer may wrap its array, in order.
-WRAPPERS = ("items", "records", "data", "results", "rows", "entries")
 
 
 @dataclass(frozen=True)
@@ -150,14 +151,17 @@ def validate(text: str, fields: list[Field]) -> tuple[list[dict[str, Any]], str]
     return [r for r in valid if any(v is not None for v in r.values())], "; ".join(errors)
 
 
-def extract_one(text: str, backend: Backend, fields: list[Field], max_retries: int) -> dict[str, Any]:
-    """Outcome of one chunk: ``completed``, ``completed_without_result`` or ``dead_letter``."""
+def extract_one(text: str, backend: Backend, fields: list[Field], max_retries: int, first: str = "extraction") -> dict[str, Any]:
+    """Outcome of one chunk: ``completed``, ``completed_without_result`` or ``dead_letter``.
+
+    With ``first`` = ``retry``, whatever valid records there are complete the chunk, and an answer without any does not.
+    """
     schema = json.dumps(json_schema(fields), indent=2)
     runs: list[dict[str, Any]] = []
 
     def ask(prompt: str) -> str:
         reply = backend.complete(SYSTEM_PROMPT, prompt)
-        runs.append({"run_type": "repair" if runs else "extraction", "model": reply.model, "tokens_in": reply.tokens_in, "tokens_out": reply.tokens_out, "latency_ms": reply.latency_ms, "raw_output": reply.text})
+        runs.append({"run_type": "repair" if runs else first, "model": reply.model, "tokens_in": reply.tokens_in, "tokens_out": reply.tokens_out, "latency_ms": reply.latency_ms, "raw_output": reply.text})
         return reply.text
 
     try:
@@ -174,28 +178,37 @@ def extract_one(text: str, backend: Backend, fields: list[Field], max_retries: i
             break
         attempts += 1
         valid, error = validate(answer, fields)
-    outcome = "completed" if not error else "completed_without_result" if valid else "dead_letter"
+    if first == "retry":
+        outcome = "completed" if valid else "dead_letter"
+    else:
+        outcome = "completed" if not error else "completed_without_result" if valid else "dead_letter"
     for i, run in enumerate(runs):
-        run |= {"attempt": i + 1, "validation_passed": i == len(runs) - 1 and not error}
+        passed = not error and (first != "retry" or bool(valid))
+        run |= {"attempt": i + 1, "validation_passed": i == len(runs) - 1 and passed}
     return {"outcome": outcome, "record_json": json.dumps(valid, ensure_ascii=False) if outcome == "completed" else None, "error": error or None, "retry_count": attempts, "runs": runs}
 
 
 RUN = "attempt int, run_type string, model string, tokens_in long, tokens_out long, latency_ms long, validation_passed boolean, raw_output string"
 
 
-def extract(chunks: DataFrame, backend: Callable[[], Backend], fields: list[Field], max_retries: int = 2) -> DataFrame:
-    """Outcomes of ``chunks(job_id, chunk_index, text)``; ``backend()`` is called once in each task."""
+def extract(chunks: DataFrame, backend: Callable[[], Backend], fields: list[Field], max_retries: int = 2, first: str = "extraction", workers: int = 4) -> DataFrame:
+    """Outcomes of ``chunks(job_id, chunk_index, text)``; ``backend()`` is called once in each task.
+
+    Each task keeps up to ``workers`` calls in flight, so a backend must stand calls from several threads.
+    """
     schema = f"job_id string, chunk_index int, outcome string, record_json string, error string, retry_count int, runs array<struct<{RUN.replace(' ', ':').replace(',:', ',')}>>"
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = backend()
         kind = pa.list_(pa.struct([("attempt", pa.int32()), ("run_type", pa.string()), ("model", pa.string()), ("tokens_in", pa.int64()), ("tokens_out", pa.int64()), ("latency_ms", pa.int64()), ("validation_passed", pa.bool_()), ("raw_output", pa.string())]))
+        pool = ThreadPoolExecutor(workers)
         for batch in batches:
-            rows = [extract_one(t.as_py() or "", client, fields, max_retries) for t in batch.column("text")]
+            rows = list(pool.map(lambda text: extract_one(text or "", client, fields, max_retries, first), batch.column("text").to_pylist()))
             columns = {"outcome": pa.string(), "record_json": pa.string(), "error": pa.string(), "retry_count": pa.int32(), "runs": kind}
             yield pa.RecordBatch.from_arrays(
                 [batch.column("job_id"), batch.column("chunk_index"), *(pa.array([r[c] for r in rows], t) for c, t in columns.items())], ["job_id", "chunk_index", *columns]
             )
+        pool.shutdown()
 
     given = chunks.select(F.col("job_id").cast("string").alias("job_id"), F.col("chunk_index").cast("int").alias("chunk_index"), "text")
     return given.mapInArrow(call, schema)
@@ -216,5 +229,4 @@ def dead_letters(outcomes: DataFrame) -> DataFrame:
 def retry(dead: DataFrame, chunks: DataFrame, backend: Callable[[], Backend], fields: list[Field], max_retries: int = 2) -> DataFrame:
     """Outcomes of pending dead letters; unlike a first run, partly valid answers count and an empty one does not."""
     again = chunks.join(dead.where("status = 'pending'").select("job_id", "chunk_index"), ["job_id", "chunk_index"])
-    out = extract(again, backend, fields, max_retries)
-    return out.withColumn("outcome", F.when((F.col("outcome") == "completed") & (F.col("record_json") == "[]"), "dead_letter").otherwise(F.col("outcome")))
+    return extract(again, backend, fields, max_retries, first="retry")

@@ -389,3 +389,6 @@ def extract_stub(spark: SparkSession, d: str) -> DataFrame:
     chunks = t(spark, d, "documents").select(F.col("source").alias("job_id"), F.col("doc_id").alias("chunk_index"), "text")
     outcomes = extraction.extract(chunks, stub_backend, [extraction.Field("n", "int"), extraction.Field("name", "string", True)])
     return outcomes.select("job_id", "chunk_index", "outcome", F.size("runs").alias("n_runs"))
+
+
+from . import eval_queries  # noqa: E402, F401  (registers its queries)

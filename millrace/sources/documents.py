@@ -6,8 +6,10 @@ store that Spark reads will do. Scanned PDFs need an OCR callable from the calle
 
 from __future__ import annotations
 
+import datetime
 import io
 import re
+import threading
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -30,6 +32,35 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return list_files(spark.read.format("binaryFile").load(path).select("path", "content"))
 
 
+def _date_styles(book: zipfile.ZipFile, names: set[str]) -> set[int]:
+    """Cell styles that show numbers as dates or times."""
+    if "xl/styles.xml" not in names:
+        return set()
+    root = ElementTree.parse(book.open("xl/styles.xml")).getroot()
+    own = {int(x.get("numFmtId", -1)): x.get("formatCode", "") for x in root.iter(f"{_MAIN}numFmt")}
+    letters = {k: re.search("[dmyhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", v.lower())) for k, v in own.items()}
+    builtin = {*range(14, 23), *range(45, 48)}
+    styles = root.find(f"{_MAIN}cellXfs")
+    ids = [int(x.get("numFmtId", 0)) for x in styles] if styles is not None else []
+    return {i for i, k in enumerate(ids) if (letters[k] if k in letters else k in builtin)}
+
+
+def _shown(raw: str, kind: str | None, is_date: bool) -> str:
+    """A cell's value as Python prints it: truth values, whole and broken numbers, dates."""
+    if kind == "b":
+        return str(raw == "1")
+    if kind not in (None, "n") or not raw:
+        return raw
+    try:
+        value = float(raw) if re.search("[.eE]", raw) else int(raw)
+    except ValueError:
+        return raw
+    if not is_date:
+        return str(value)
+    moment = datetime.datetime(1899, 12, 30) + datetime.timedelta(seconds=round(value * 86400))
+    return str(moment.time() if 0 <= value < 1 else moment)
+
+
 def sheets_of(content: bytes) -> Iterator[tuple[str, list[list[str]]]]:
     """Name and rows of each sheet; cached values, empty cells as empty text."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
@@ -38,6 +69,7 @@ def sheets_of(content: bytes) -> Iterator[tuple[str, list[list[str]]]]:
         if "xl/sharedStrings.xml" in names:
             for item in ElementTree.parse(book.open("xl/sharedStrings.xml")).getroot():
                 shared.append("".join(t.text or "" for t in item.iter(f"{_MAIN}t")))
+        dates = _date_styles(book, names)
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.parse(book.open("xl/_rels/workbook.xml.rels")).getroot()}
         for sheet in ElementTree.parse(book.open("xl/workbook.xml")).getroot().iter(f"{_MAIN}sheet"):
             target = targets[sheet.get(f"{_REL}id")].lstrip("/")
@@ -54,18 +86,20 @@ def sheets_of(content: bytes) -> Iterator[tuple[str, list[list[str]]]]:
                     cells += [""] * (at - len(cells))
                     value = cell.find(f"{_MAIN}v")
                     text = value.text or "" if value is not None else "".join(t.text or "" for t in cell.iter(f"{_MAIN}t"))
-                    cells.append(shared[int(text)] if cell.get("t") == "s" and text else text)
+                    kind = cell.get("t")
+                    cells.append(shared[int(text)] if kind == "s" and text else _shown(text, kind, int(cell.get("s", 0)) in dates))
                 rows.append(cells)
             yield sheet.get("name", ""), rows
 
 
 def workbook_rows(given: DataFrame) -> DataFrame:
-    """``(path, sheet, sheet_index, row, cells)`` of ``given(path, content)``."""
+    """``(path, sheet, sheet_index, row, cells)`` of ``given(path, content)``; a sheet without rows has one with null cells."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 for k, (name, rows) in enumerate(sheets_of(content.as_py())):
+                    rows = rows or [None]
                     n = len(rows)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([path] * n, pa.string()), pa.array([name] * n, pa.string()), pa.array([k] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(rows, pa.list_(pa.string()))],
@@ -76,17 +110,22 @@ def workbook_rows(given: DataFrame) -> DataFrame:
 
 
 def workbook_pages(rows: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
-    """``(path, page_index, text)``: a sheet's Markdown, its header repeated before every ``block`` rows."""
-    heads = rows.where("row = 0").select("path", "sheet_index", F.col("cells").alias("_head"))
+    """``(path, page_index, text)``: a sheet's Markdown, its header repeated before every ``block`` rows.
+
+    Each block ends with a blank line; a sheet with a header only has its title, one without rows says that it is empty.
+    """
+    heads = rows.where("row = 0 AND cells IS NOT NULL").select("path", "sheet_index", F.col("cells").alias("_head"))
     body = rows.where("row > 0").join(heads, ["path", "sheet_index"])
     width = F.size("_head")
     cut = F.expr("slice(concat(cells, array_repeat('', size(_head))), 1, size(_head))")
     head = F.concat(markdown_row(F.col("_head"), header=True), F.lit("\n| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |\n"))
     first = (F.col("row") - 1) % block == 0
     line = F.concat(F.when(first & (F.col("row") > 1), "\n").otherwise(""), F.when(first, head).otherwise(""), markdown_row(cut), F.lit("\n"))
+    line = F.when(width == 0, "").otherwise(line)
     lines = body.groupBy("path", "sheet_index").agg(F.sort_array(F.collect_list(F.struct("row", line.alias("line")))).alias("_lines"))
     sheets = rows.groupBy("path", "sheet_index").agg(F.first("sheet").alias("sheet")).join(heads, ["path", "sheet_index"], "left").join(lines, ["path", "sheet_index"], "left")
-    text = F.coalesce(F.array_join(F.col("_lines.line"), ""), F.concat(head, F.lit("")), F.lit("*Empty sheet*\n"))
+    body = F.concat(F.array_join(F.col("_lines.line"), ""), F.when(width > 0, "\n").otherwise(""))
+    text = F.when(F.col("_head").isNull(), "*Empty sheet*\n").otherwise(F.coalesce(body, F.lit("")))
     return sheets.select("path", F.col("sheet_index").alias("page_index"), F.concat(F.lit("# "), "sheet", F.lit("\n\n"), text).alias("text"))
 
 
@@ -97,7 +136,10 @@ _CODES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 
 def pdf_texts(content: bytes) -> list[str]:
-    """Text of each content stream with text operators, of PDFs with simple fonts and Flate or plain streams."""
+    """Text of each content stream, empty if it has no text, of PDFs with simple fonts and Flate or plain streams.
+
+    Streams of images, fonts, objects and metadata are no pages; one stream is taken for a page, in file order.
+    """
     plain = lambda raw: _ESCAPE.sub(lambda m: _CODES.get(m[1]) or (bytes([int(m[1], 8) & 255]) if m[1].isdigit() else m[1]), raw).decode("latin-1")
     pages = []
     for m in _STREAM.finditer(content):
@@ -107,7 +149,7 @@ def pdf_texts(content: bytes) -> list[str]:
                 data = zlib.decompress(data)
             except zlib.error:
                 continue
-        if b"BT" not in data:
+        if re.search(rb"/(Subtype|Type|Length1|FunctionType)\b", m["dict"]):
             continue
         out: list[str] = []
         for x in _TEXT.finditer(data):
@@ -121,11 +163,48 @@ def pdf_texts(content: bytes) -> list[str]:
     return pages
 
 
-def pdf_pages(given: DataFrame, ocr: Callable[[bytes, int], tuple[str, float]] | None = None, low: float = 0.6) -> DataFrame:
+#: Fixed value: what stands for a page whose reading took too long.
+TIMED_OUT = "*OCR timed out for this page (see logs).*"
+Ocr = Callable[[bytes, int, int], tuple[str, float]]
+
+
+def first_engine(*makers: Callable[[], Ocr]) -> Ocr | None:
+    """The first engine that can be made: makers raise ``ImportError`` where their library is not installed."""
+    for make in makers:
+        try:
+            return make()
+        except ImportError:
+            continue
+    return None
+
+
+def mean_confidence(lines: list[float]) -> float:
+    return sum(lines) / max(len(lines), 1)
+
+
+def read_page(ocr: Ocr, content: bytes, page: int, dpi: int = 150, most: int = 300, low: float = 0.7, seconds: float = 0) -> tuple[str, float]:
+    """One page at ``dpi``, and again at ``most`` if the confidence is below ``low``: the second answer always stands.
+
+    A reading that takes more than ``seconds`` (0: no limit) is given up; its thread runs on by itself.
+    """
+
+    def ask(at: int) -> tuple[str, float]:
+        if seconds <= 0:
+            return ocr(content, page, at)
+        answer: list = []
+        thread = threading.Thread(target=lambda: answer.append(ocr(content, page, at)), daemon=True)
+        thread.start()
+        thread.join(seconds)
+        return answer[0] if answer else (TIMED_OUT, 0.0)
+
+    text, sure = ask(dpi)
+    return ask(most) if sure < low and dpi < most else (text, sure)
+
+
+def pdf_pages(given: DataFrame, ocr: Ocr | None = None, **settings: float) -> DataFrame:
     """``(path, page_index, text, confidence)`` of ``given(path, content)``.
 
-    ``ocr(content, dpi)`` reads files without text; it is asked again at twice the resolution below confidence ``low``,
-    and the second answer always stands.
+    ``ocr(content, page, dpi)`` reads the pages of files that have no text at all; ``settings`` go to :func:`read_page`.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,8 +213,7 @@ def pdf_pages(given: DataFrame, ocr: Callable[[bytes, int], tuple[str, float]] |
                 data = content.as_py()
                 texts = [(t, 1.0) for t in pdf_texts(data)]
                 if ocr is not None and not any(t for t, _ in texts):
-                    text, sure = ocr(data, 150)
-                    texts = [ocr(data, 300) if sure < low else (text, sure)]
+                    texts = [read_page(ocr, data, page, **settings) for page in range(max(1, len(texts)))]
                 n = len(texts)
                 yield pa.RecordBatch.from_arrays([pa.array([path] * n, pa.string()), pa.array(range(n), pa.int32()), pa.array([t for t, _ in texts], pa.string()), pa.array([c for _, c in texts], pa.float64())], ["path", "page_index", "text", "confidence"])
 

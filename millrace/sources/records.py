@@ -69,7 +69,7 @@ def load_config(*paths: str) -> dict[str, Any]:
 
 
 def write_jsonl(records: DataFrame, path: str) -> None:
-    records.select(F.to_json(F.struct(*records.columns)).alias("value")).write.text(path)
+    records.select(F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
 
 
 def write_csv(records: DataFrame, path: str) -> None:

@@ -180,6 +180,16 @@ def test_workbook_source(spark, tmp_path):
     pages = documents.workbook_pages(documents.workbook_rows(documents.files(spark, str(tmp_path)))).collect()
     cars = next(r.text for r in pages if r.text.startswith("# Cars"))
     assert cars.count("| id | name | name |\n| --- | --- | --- |\n") == 2 and "| 51 |  | a\\|b |\n" in cars
+    assert "| 49 |  | a\\|b |\n\n| id |" in cars and cars.endswith("| 51 |  | a\\|b |\n\n")
+    assert sorted(r.text for r in pages if r.text != cars) == ["# Empty\n\n*Empty sheet*\n"]
+    rows = spark.createDataFrame([("f", "Head", 0, 0, ["a", "b"])], "path string, sheet string, sheet_index int, row int, cells array<string>")
+    assert documents.workbook_pages(rows).first().text == "# Head\n\n"
+
+
+def test_cell_values():
+    assert [documents._shown(*x) for x in (("1", "b", False), ("0", "b", False), ("5", None, False), ("5.50", "n", False), ("x", "str", False), ("45306", None, True), ("45306.5", None, True), ("0.25", None, True))] == [
+        "True", "False", "5", "5.5", "x", "2024-01-15 00:00:00", "2024-01-15 12:00:00", "06:00:00",
+    ]
 
 
 def test_pdf_source(spark, tmp_path):
@@ -189,8 +199,27 @@ def test_pdf_source(spark, tmp_path):
     (tmp_path / "x.pdf").write_bytes(pdf)
     assert documents.pdf_pages(documents.files(spark, str(tmp_path))).first().text == "# Page 1\n\nHello (world)\nab\n"
     (tmp_path / "x.pdf").write_bytes(b"%PDF-1.4 scanned")
-    read = documents.pdf_pages(documents.files(spark, str(tmp_path)), ocr=lambda data, dpi: (f"at {dpi}", dpi / 400)).first()
+    read = documents.pdf_pages(documents.files(spark, str(tmp_path)), ocr=lambda data, page, dpi: (f"at {dpi}", dpi / 400)).first()
     assert read.text == "# Page 1\n\nat 300\n"
+    scan = b"%PDF-1.4\n" + b"".join(b"%d 0 obj << /Length 9 >> stream\nq /Im0 Do Q\nendstream endobj\n" % i for i in range(2)) + b"9 0 obj << /Subtype /Image >> stream\nxx\nendstream"
+    assert documents.pdf_texts(scan) == ["", ""]
+    (tmp_path / "x.pdf").write_bytes(scan)
+    read = documents.pdf_pages(documents.files(spark, str(tmp_path)), ocr=lambda data, page, dpi: (f"p{page} at {dpi}", 0.7)).orderBy("page_index").collect()
+    assert [(r.page_index, r.text) for r in read] == [(0, "# Page 1\n\np0 at 150\n"), (1, "# Page 2\n\np1 at 150\n")]
+
+
+def test_reading_a_page():
+    import time
+
+    asked = []
+    assert documents.read_page(lambda data, page, dpi: asked.append(dpi) or ("t", 0.69), b"", 0) == ("t", 0.69) and asked == [150, 300]
+    assert documents.read_page(lambda data, page, dpi: time.sleep(5), b"", 0, most=150, seconds=0.05) == (documents.TIMED_OUT, 0.0)
+
+    def absent():
+        raise ImportError
+
+    assert documents.first_engine(absent, lambda: "second") == "second" and documents.first_engine(absent) is None
+    assert documents.mean_confidence([]) == 0 and documents.mean_confidence([0.5, 1.0]) == 0.75
 
 
 def test_record_files(spark, tmp_path):
