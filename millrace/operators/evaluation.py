@@ -97,6 +97,7 @@ def score(expectations: DataFrame, results: DataFrame, goldens: tuple[DataFrame,
 
     ``expectations(fixture, exp_id, label, allow_empty, chunk_index, pages)``: one of ``chunk_index`` and ``pages`` is null.
     ``results(fixture, chunk_index, record_json, validation_passed, source_pages, seq)``: of several for a chunk the last counts.
+    What both results rest on is kept in Spark's cache; ``spark.catalog.clearCache()`` lets it go.
     """
     last = latest(results, ["fixture", "chunk_index"], [F.col("seq").desc()])
     asked = expectations.where("pages IS NOT NULL").select("fixture", F.col("exp_id").alias("range_id"), "pages")
@@ -114,9 +115,10 @@ def score(expectations: DataFrame, results: DataFrame, goldens: tuple[DataFrame,
             "n_records": F.coalesce(F.size("_got.records"), F.lit(0)), "golden_error": golden_error, "has_golden": F.col("golden_json").isNotNull(),
         }
     )
+    rows = rows.persist()  # both results and every side of the pairing read it
     resolved = F.coalesce(F.col("_range"), F.lit("resolved")) == "resolved"
     comparable = resolved & F.col("present") & ~parse_error & F.col("validated") & (F.col("n_records") > 0) & F.col("has_golden") & ~golden_error & (F.col("label") == "positive")
-    differences = field_differences(rows.where(comparable).select("fixture", "exp_id", F.col("_want.records").alias("golden"), F.col("_got.records").alias("actual")), match_key, hint)
+    differences = field_differences(rows.where(comparable).select("fixture", "exp_id", F.col("_want.records").alias("golden"), F.col("_got.records").alias("actual")), match_key, hint).persist()
     fits = differences.groupBy("fixture", "exp_id").agg(F.bool_and(F.col("match").isin("exact", "normalized")).alias("_fits"))
     judged = rows.join(fits, ["fixture", "exp_id"], "left").withColumn("fields_ok", F.coalesce("_fits", F.lit(True)))
     reason = F.when(resolved, scoring.reason()).otherwise(F.col("_range"))
