@@ -131,7 +131,7 @@ def index_keys(lists: DataFrame) -> DataFrame:
     """``(key, doc_id)`` of ``lists(doc_id, n, m, tokens)``; tokens are (df, h, late) in global order, shared ones only."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             lists = batch.column("tokens")
             flat, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
             df, h, late = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("df", "h", "late"))

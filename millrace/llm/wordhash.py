@@ -134,6 +134,7 @@ def slices(texts: pa.Array) -> Iterator[Slice]:
         to = max(at + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, side="right")))
         yield Slice(texts.slice(at, to - at), at)
         at = to
+    pa.default_memory_pool().release_unused()  # a worker that is used again should not hold what one batch took
 
 
 def unique_pairs(owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

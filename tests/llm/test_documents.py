@@ -164,7 +164,31 @@ def shingles(text):
     return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
 
 
-def test_jaccard_components_against_all_pairs(spark, odd_docs):
+def test_difference_prefixes_meet_for_every_link():
+    """Linked sets that are not both linked to the pivot share a key at whose place enough of both differences is left."""
+    rng = np.random.default_rng(11)
+    linked = seen = 0
+    for _ in range(4000):
+        p = np.unique(rng.integers(0, 400, int(rng.integers(20, 120))).astype(np.uint64))
+        other = np.arange(1000, 1030, dtype=np.uint64)
+        core = np.union1d(rng.choice(p, int(len(p) * rng.uniform(0.5, 1)), replace=False), rng.choice(other, int(rng.integers(0, 25)), replace=False))
+        x, y = (np.union1d(rng.choice(core, max(1, int(len(core) * rng.uniform(0.8, 1))), replace=False), rng.choice(other, int(rng.integers(0, 4)))) for _ in range(2))
+        close = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
+        if not close(x, y) or close(x, p) and close(y, p):
+            continue
+        linked += 1
+        sides = []
+        for z in (x, y):
+            g, changed, found = jaccard_join.difference_prefixes(z, p, 75)
+            sides.append((g, {(one, two, int(v)): len(changed) - i for one, two, size in found for i, v in enumerate(changed[:size])}))
+        (g1, one), (g2, two) = sides
+        assert any(g1 + g2 <= 350 * min(one[k], two[k]) for k in one.keys() & two.keys())
+        seen += 1
+    assert linked == seen > 300
+
+
+@pytest.mark.parametrize(("few", "many"), [(64, 512), (3, 5)])
+def test_jaccard_components_against_all_pairs(spark, odd_docs, few, many):
     rng = np.random.default_rng(5)
     rows = [(r.doc_id, r.text) for r in odd_docs.where("doc_id IS NOT NULL").distinct().collect() if r.doc_id not in (5, 6)]
     base = [prose(200 + k, int(rng.integers(8, 150))).split() for k in range(6)]
@@ -187,7 +211,7 @@ def test_jaccard_components_against_all_pairs(spark, odd_docs):
             if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                 x, y = root(a), root(b)
                 comp[max(x, y)] = min(x, y)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string"), few=few, many=many).collect()}
     assert got == {i: (len(sets[i]), root(i)) for i in ids}
 
 

@@ -43,3 +43,15 @@ def test_odd_rows(spark, odd_docs):
         assert docs.columns == odd_docs.columns
         docs = spark.createDataFrame(docs.collect(), odd_docs.schema)
     assert docs.count() > 0
+
+
+def test_clashing_names_and_empty_tables(spark, odd_docs):
+    """Columns named like those inside stages, and no rows at all."""
+    docs = odd_docs.withColumnsRenamed({"key": "_kept_0", "rank": "_kept_1", "n_words": "component_id"})
+    for given in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            out = stage(spark, given, "")
+            assert out.columns == docs.columns
+            rows = out.collect()
+            given = spark.createDataFrame(rows, docs.schema)
+        assert bool(rows) == (corpus_pipeline.STAGES[4][1](spark, given, "").count() > 0)
