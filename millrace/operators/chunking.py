@@ -10,7 +10,10 @@ lengths only: the text never enters the fold); jobs are independent. Everything
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +35,26 @@ def windows(text: Column, max_tokens: int, overlap: float) -> Column:
     return F.when(F.length(text) > 0, F.transform(starts, lambda i: F.substring(text, i + 1, F.lit(width)))).otherwise(F.array().cast("array<string>"))
 
 
+def token_windows(docs: DataFrame, tokenizer: Callable[[], Any], max_tokens: int, overlap: float) -> DataFrame:
+    """``(doc_id, part, text, n_tokens)`` of ``docs(doc_id, text)``: windows over a tokenizer's ids, decoded.
+
+    ``tokenizer()`` is called once in each task and gives an object with ``encode`` and ``decode``. Empty texts have no window.
+    """
+    step = max_tokens - int(max_tokens * overlap)
+    step = step if step > 0 else max_tokens
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = tokenizer()
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                ids = list(model.encode(text.as_py() or ""))
+                parts = [ids[at : at + max_tokens] for at in range(0, len(ids), step)]
+                columns = [pa.array([doc_id] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array([model.decode(x) for x in parts], pa.string()), pa.array([len(x) for x in parts], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "text", "n_tokens"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, part int, text string, n_tokens int")
+
+
 _ROW, _LETTER = re.compile(TABLE_LINE), re.compile("[a-zA-Z]")
 
 

@@ -52,20 +52,69 @@ class StubBackend:
         return Reply(text, len(user) // 4, len(text) // 4, 1, self.model)
 
 
+def _ask(url: str, body: dict[str, Any] | None, timeout: float, key: str | None = None) -> Any:
+    """JSON answer of an endpoint; without a body it is only looked at."""
+    headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+    request = urllib.request.Request(url, None if body is None else json.dumps(body).encode(), headers)
+    with urllib.request.urlopen(request, timeout=timeout) as response:
+        return json.load(response)
+
+
+def _messages(system: str, user: str) -> list[dict[str, str]]:
+    return [{"role": "system", "content": system}, {"role": "user", "content": user}]
+
+
 class OllamaBackend:
     """A chat endpoint that speaks the Ollama protocol."""
 
     def __init__(self, url: str, model: str, timeout: float = 120):
-        self.url, self.model, self.timeout = url.rstrip("/") + "/api/chat", model, timeout
+        self.base, self.model, self.timeout = url.rstrip("/"), model, timeout
 
     def complete(self, system: str, user: str) -> Reply:
-        body = {"model": self.model, "stream": False, "format": "json", "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}
         began = time.monotonic()
-        request = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json"})
-        with urllib.request.urlopen(request, timeout=self.timeout) as response:
-            got = json.load(response)
+        got = _ask(f"{self.base}/api/chat", {"model": self.model, "stream": False, "format": "json", "messages": _messages(system, user)}, self.timeout)
         return Reply(got["message"]["content"], got.get("prompt_eval_count", 0), got.get("eval_count", 0), int(1000 * (time.monotonic() - began)), self.model)
 
+    def problem(self) -> str | None:
+        """Why calls would fail, null if the endpoint answers and has the model."""
+        try:
+            names = {m.get("name", "") for m in _ask(f"{self.base}/api/tags", None, 5).get("models", [])}
+        except OSError as e:
+            return f"no answer from {self.base}: {e}"
+        return None if self.model in names or f"{self.model}:latest" in names else f"{self.base} has no model {self.model}"
+
+
+class ChatBackend:
+    """A chat endpoint that speaks the widespread ``/chat/completions`` protocol; asked again after failures that may pass."""
+
+    def __init__(self, url: str, model: str, key: str | None = None, timeout: float = 120, tries: int = 3, pause: float = 1.0):
+        self.base, self.model, self.key, self.timeout, self.tries, self.pause = url.rstrip("/"), model, key, timeout, tries, pause
+
+    def complete(self, system: str, user: str) -> Reply:
+        body = {"model": self.model, "messages": _messages(system, user), "response_format": {"type": "json_object"}}
+        began = time.monotonic()
+        for turn in range(self.tries):
+            try:
+                got = _ask(f"{self.base}/chat/completions", body, self.timeout, self.key)
+                break
+            except OSError as e:
+                code = getattr(e, "code", 500)  # an answer that says the request is wrong will not change
+                if turn == self.tries - 1 or 400 <= code < 500 and code not in (408, 429):
+                    raise
+                time.sleep(self.pause * 2**turn)
+        use = got.get("usage") or {}
+        return Reply(got["choices"][0]["message"]["content"], use.get("prompt_tokens", 0), use.get("completion_tokens", 0), int(1000 * (time.monotonic() - began)), self.model)
+
+    def problem(self) -> str | None:
+        """Why calls would fail, null if there is a key and the endpoint answers."""
+        if not self.key:
+            return "no key is set"
+        try:
+            _ask(f"{self.base}/models", None, 5, self.key)
+        except OSError as e:
+            return f"no answer from {self.base}: {e}"
+        return None
+
 
 @dataclass(frozen=True)
 class Field:
