@@ -68,7 +68,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int, batch_bytes: int
                 for piece in (pieces(text) if safe else (text,)) if text else ():
                     held.append(piece)
                     rows.append(i)
-                    size += len(piece)
+                    size += len(piece) if piece.isascii() else len(piece.encode())
                     if size >= batch_bytes:
                         flush()
                         size = 0
