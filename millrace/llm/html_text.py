@@ -1,17 +1,18 @@
 """Main text of web pages.
 
-A page is cut into lines, one for each block of text. Elements that never hold main text (scripts, styles,
-navigation, asides, footers, forms and elements whose class, id or role names them adverts, menus, notices,
-comments and the like) are left out. Where a page marks its main text (``article``, ``main``, or the role), its
-lines are those. An element that is only named beside the text (``content-sidebar-wrap``) and holds the marked text
-or its first heading (``entry-header``) is not left out.
-
-Elsewhere nearest-URL page differencing decides: within a host, pages are ordered by URL path and each is
-paired with the neighbour that shares the longer path prefix; the lines of both are aligned by their longest common
-subsequence, and the shared ones, the template, are deleted. Pages that are mostly the same (copies) say nothing
-about a template and are not used. The order is made by range partitions, so a host with a third of all pages is
-spread over tasks. Pages that mark their text are not differenced: text that two of them share (a licence
-line, a quoted passage) belongs to both.
+A page is cut into lines, one for each block of text. Nearest-URL page differencing takes every page: within a host,
+pages are ordered by URL path and each is paired with the neighbour that shares the longer path prefix; all lines of
+both are aligned by their longest common subsequence, and the shared ones, the template, are deleted. Pages that are
+mostly the same (copies) say nothing about a template and are not used. The order is made by range partitions, so a
+host with a third of all pages is spread over tasks. Only hashes of lines are ordered and aligned.
+
+An exact check of the markup follows. Elements that never hold main text (scripts, styles, navigation, asides,
+footers, forms and elements whose class, id or role names them adverts, menus, notices, comments and the like) are left
+out, shared or not. Where a page marks its main text (``article``, ``main``, or the role), its lines are among those, and
+its headings, paragraphs, list items, quotations and table cells stay where two pages share them, as a licence line or
+a quoted passage belongs to both; what lies bare in the marked text (a label in a ``div``) goes if it is shared,
+unless the marked text has no such elements at all. An element that is only named beside the text
+(``content-sidebar-wrap``) and holds the marked text or its first heading (``entry-header``) is not left out.
 
 Defined results: null and empty pages have an empty text; truncated and unbalanced markup is read as far as it
 goes; a page without a neighbour on its host keeps all its lines; pages with no ``://`` in the URL are one host;
@@ -21,6 +22,7 @@ repeated rows are extracted alike; an empty table gives an empty result.
 from __future__ import annotations
 
 import bisect
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -57,6 +59,8 @@ BESIDE = frozenset(
 #: Words of elements that may hold articles of their own, which are not the page's.
 OTHERS = frozenset("comment comments promo promoted related replies reply respond sponsor sponsored widget".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose lines in marked text are the article's own, shared or not.
+OWN = HEADINGS | frozenset("p li dt dd td th caption figcaption blockquote pre".split())
 #: How an element that is left out may yet be taken: never, for ``main`` only, for any marked text or heading.
 NEVER, FOR_MAIN, FOR_ANY = range(3)
 
@@ -71,20 +75,27 @@ def _excuse(name: str, attrs: str, words: set[str]) -> int:
 
 def lines_of(page: str | None) -> tuple[list[str], bool]:
     """The page's candidate lines in order, and whether they come from marked main text."""
-    lines: list[tuple[str, tuple[int, ...], bool]] = []  # line, elements left out around it, whether in marked text
+    lines, marked = blocks_of(page)
+    return [line for line, candidate, _ in lines if candidate], marked
+
+
+def blocks_of(page: str | None) -> tuple[list[tuple[str, bool, bool]], bool]:
+    """All lines of the page in order, each with whether it is a candidate and whether it stays though it is shared, and
+    whether candidates come from marked main text."""
+    lines: list[tuple[str, tuple[int, ...], bool, bool]] = []  # line, elements left out around it, whether in marked text, whether in OWN
     stack: list[tuple[str, int, bool]] = []  # name, number in ``excuses`` if left out or -1, whether marked
     excuses: list[int] = []
     excused: set[int] = set()
     roots: list[tuple[int, ...]] = []  # elements left out around each marked one
     text: list[str] = []
     out: tuple[int, ...] = ()
-    inside = headed = False
+    inside = headed = own = False
 
     def flush() -> None:
         line = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if line:
-            lines.append((line, out, inside))
+            lines.append((line, out, inside, own))
 
     at = 0
     page = page or ""
@@ -102,6 +113,7 @@ def lines_of(page: str | None) -> tuple[list[str], bool]:
             # an inline element may be named as something beside the text, too, but its end is not tracked
             continue
         flush()
+        own = name in OWN and not m["close"]
         if name in HEADINGS and inside and not headed and not m["close"]:
             around = {x[1] for x in stack[next(i for i, x in enumerate(stack) if x[2]) :]} - {-1}
             if all(excuses[i] == FOR_ANY for i in around):
@@ -133,12 +145,14 @@ def lines_of(page: str | None) -> tuple[list[str], bool]:
     any_marked = any(excused.issuperset(x) for x in roots)
     if not any_marked:
         excused.clear()
-    return [x for x, around, is_marked in lines if is_marked >= any_marked and excused.issuperset(around)], any_marked
+    blocks = [(x, is_marked >= any_marked and excused.issuperset(around), is_own) for x, around, is_marked, is_own in lines]
+    bare = not any(candidate and is_own for _, candidate, is_own in blocks)
+    return [(x, candidate, any_marked and (is_own or bare)) for x, candidate, is_own in blocks], any_marked
 
 
-def shared_lines(one: list[str], two: list[str]) -> set[int]:
+def shared_lines(one: list, two: list) -> set[int]:
     """Places in ``one`` of a longest common subsequence with ``two`` (Hunt and Szymanski)."""
-    where: dict[str, list[int]] = {}
+    where: dict = {}
     for j, line in enumerate(two):
         where.setdefault(line, []).append(j)
     ends: list[int] = []
@@ -160,58 +174,73 @@ def shared_lines(one: list[str], two: list[str]) -> set[int]:
     return found
 
 
-def _parse(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, lines, marked)``."""
+def _row_key(*row: object) -> bytes:
+    return hashlib.blake2b(repr(row).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _parse(pages: DataFrame, hashed: bool) -> DataFrame:
+    """``(key, page_id, url, lines)``, the candidates; or if ``hashed`` ``(key, url, hashes, candidate, stays)``, all lines.
+
+    Equal rows have an equal key.
+    """
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                done = [lines_of(x.as_py()) for x in part.column("html")]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("page_id"), part.column("url"), pa.array([x for x, _ in done], pa.list_(pa.string())), pa.array([m for _, m in done], pa.bool_())],
-                    ["page_id", "url", "lines", "marked"],
-                )
-
-    return pages.select("page_id", "url", "html").mapInArrow(parsed, "page_id long, url string, lines array<string>, marked boolean")
-
-
-def _without_template(pages: DataFrame, copies: float) -> DataFrame:
-    """Difference unmarked pages ``(page_id, url, lines)`` with their nearest neighbour by URL path."""
+                rows = list(zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True))
+                keys = pa.array([_row_key(*row) for row in rows], pa.binary())
+                done = [blocks_of(page)[0] for *_, page in rows]
+                if hashed:
+                    sums = [[int.from_bytes(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for x, *_ in lines] for lines in done]
+                    flags = (pa.array([[x[k] for x in lines] for lines in done], pa.list_(pa.bool_())) for k in (1, 2))
+                    yield pa.RecordBatch.from_arrays([keys, part.column("url"), pa.array(sums, pa.list_(pa.int64())), *flags], ["key", "url", "hashes", "candidate", "stays"])
+                else:
+                    kept = pa.array([[x for x, candidate, _ in lines if candidate] for lines in done], pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([keys, part.column("page_id"), part.column("url"), kept], ["key", "page_id", "url", "lines"])
+
+    schema = "key binary, url string, hashes array<long>, candidate array<boolean>, stays array<boolean>" if hashed else "key binary, page_id long, url string, lines array<string>"
+    return pages.select("page_id", "url", "html").mapInArrow(parsed, schema)
+
+
+def _template(pages: DataFrame, copies: float) -> DataFrame:
+    """``(key, gone)`` of pages ``(key, url, hashes, candidate, stays)`` that lose candidates, by their place among these, when
+    differenced with their nearest neighbour by URL path."""
     placed = pages.select("*", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    placed = ranked(placed, ["host", "path", "url", "page_id"], spread(pages.sparkSession))
-    donor = placed.select("rank", F.struct("host", "path", "lines").alias("near"))
+    placed = ranked(placed, ["host", "path", "url", "key"], spread(pages.sparkSession))
+    donor = placed.select("rank", F.struct("host", "path", "hashes", "candidate").alias("near"))
     both = placed.join(donor.select((F.col("rank") + 1).alias("rank"), F.col("near").alias("before")), "rank", "left")
     both = both.join(donor.select((F.col("rank") - 1).alias("rank"), F.col("near").alias("after")), "rank", "left")
 
-    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            for row in batch.select(["host", "path", "lines", "before", "after"]).to_pylist():
-                lines = row["lines"]
+            keys, gone = [], []
+            for row in batch.select(["key", "host", "path", "hashes", "candidate", "stays", "before", "after"]).to_pylist():
                 near = [x for x in (row["before"], row["after"]) if x and x["host"] == row["host"]]
                 prefix = lambda x: next((i for i, (a, b) in enumerate(zip(x["path"], row["path"])) if a != b), min(len(x["path"]), len(row["path"])))  # noqa: E731, B023
+                text = [i for i, is_candidate in enumerate(row["candidate"]) if is_candidate]
                 for x in sorted(near, key=prefix, reverse=True):
-                    gone = shared_lines(lines, x["lines"])
-                    if len(gone) < copies * min(len(lines), len(x["lines"])):
-                        lines = [line for i, line in enumerate(lines) if i not in gone]
+                    shared = shared_lines(row["hashes"], x["hashes"])
+                    if len(shared.intersection(text)) < copies * min(len(text), sum(x["candidate"])):
+                        lost = [k for k, i in enumerate(text) if i in shared and not row["stays"][i]]
+                        if lost:
+                            keys.append(row["key"])
+                            gone.append(lost)
                         break
-                kept.append(lines)
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(kept, pa.list_(pa.string()))], ["page_id", "url", "lines"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(gone, pa.list_(pa.int32()))], ["key", "gone"])
 
-    return both.mapInArrow(cleaned, "page_id long, url string, lines array<string>")
+    return both.mapInArrow(differenced, "key binary, gone array<int>")
 
 
 def extract_text(pages: DataFrame, *, copies: float = 0.8) -> DataFrame:
     """``(page_id, url, text, n_chars)`` for each row of ``pages(page_id, url, html)``.
 
-    Two pages that share the part ``copies`` of the shorter one's lines are copies.
+    Two pages that share the part ``copies`` of the shorter one's candidate lines are copies.
     """
-    # a cheap test on the raw page sends those that may mark their text down a path without any shuffle
-    may_mark = F.coalesce(F.col("html").rlike(r"(?i)<(article|main)\b|role\s*=\s*[\"']?main"), F.lit(False))
-    first = _parse(pages.where(may_mark))
-    # settled, as ordering by ranges reads its input twice
-    plain = settle(_parse(pages.where(~may_mark)).unionByName(first.where("NOT marked")))
-    lines = first.where("marked").select("page_id", "url", "lines").unionByName(_without_template(plain.select("page_id", "url", "lines"), copies))
-    text = F.array_join("lines", "\n\n")
-    return lines.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+    # settled, as ordering by ranges reads its input twice; a page that is there twice is no neighbour of its own
+    hashed = settle(_parse(pages, hashed=True).dropDuplicates(["key"]))
+    # settled, too, so that its shuffle files are gone before the lines are shuffled
+    rows = _parse(pages, hashed=False).join(settle(_template(hashed, copies)), "key", "left")
+    lines = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, k: ~F.array_contains("gone", k)))
+    text = F.array_join(lines, "\n\n")
+    return rows.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))

@@ -85,6 +85,17 @@ def test_template_lines_go(spark):
     assert got[9].startswith("Welcome") and got[10] == "" and got[20] == got[21] and got[20].startswith("Welcome")
 
 
+def test_marked_pages_are_differenced(spark):
+    """Neighbours share a label that no name tells from the article: it goes, and paragraphs that they share stay."""
+    body = "<div>Welcome</div><article><div>Tell a friend</div><h1>Title {0}</h1><p>{0} a</p><p>Free to copy.</p><div>Was this page useful?</div></article>"
+    rows = [(i, f"http://h.net/n/{i}", body.format(i), "x") for i in range(5)] * 2 + [(9, "http://other.net/n/1", body.format(9), "x")]
+    rows += [(20 + i, f"http://bare.net/{i}", f"<main><div>text {i}</div><div>Free to copy.</div></main>", "x") for i in range(3)]
+    got = sorted((r.page_id, r.text) for r in html_text.extract_text(pages(spark, rows)).collect())
+    want = [(i, f"Title {i}\n\n{i} a\n\nFree to copy.") for i in range(5) for _ in range(2)]
+    want += [(9, "Tell a friend\n\nTitle 9\n\n9 a\n\nFree to copy.\n\nWas this page useful?")]
+    assert got == want + [(20 + i, f"text {i}\n\nFree to copy.") for i in range(3)]
+
+
 def test_longest_common_subsequence():
     rng = np.random.default_rng(2)
     for _ in range(200):
