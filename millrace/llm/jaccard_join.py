@@ -18,7 +18,11 @@ link when ``100 * intersection >= 75 * union``; the result names each document's
    ``|x ^ y|`` is small, and ``|x ^ y| = |x ^ p| + |y ^ p| - 2 |(x ^ p) & (y ^ p)|`` for the pivot p, so two members that are
    not both linked to p must share a large part of their differences from p. Prefixes of these differences (what a
    member adds to p, then what it lacks) are indexed, and a pair is made only where enough of both differences is
-   left from the shared shingle on. Keys of very many members go to a pivot again. No large group is expanded into
+   left from the shared shingle on. Under a shingle that is lacked, each member is compared only with the one that adds
+   least of each lot of members which lack the same of p: if x and y link and add nothing in common, then x links with
+   the first of y's lot (no larger than y, and with as much of p in common), y with the first of x's, and these two
+   with each other. So texts that have only a passage in common, all of which lack the rest of p, cost one comparison
+   each. Keys of very many members (lacked: lots) go to a pivot again. No large group is expanded into
    all its pairs and nothing is capped. A key's pivot comes before its other members in one fixed order, so
    pivots move on and the rounds end. Pairs are verified exactly.
 
@@ -280,39 +284,58 @@ def difference_prefixes(x: np.ndarray, p: np.ndarray, percent: int) -> tuple[int
 
 
 def difference_keys(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``(key, doc_id, g, rest)``: the members of ``stars(pivot, doc_id)`` indexed by their differences from the pivot.
+    """``(key, doc_id, g, rest, lot)``: the members of ``stars(pivot, doc_id)`` indexed by their differences from the pivot.
 
-    ``rest`` is how much of the difference is left from the key's shingle on, that one included.
+    ``rest`` is how much of the difference is left from the key's shingle on, that one included. Under a shingle that
+    the member lacks, it is all that the member lacks, and ``lot`` tells that set; else ``lot`` is 0.
     """
     one = sets.select("doc_id", F.col("shingles").alias("x"))
     two = sets.select(F.col("doc_id").alias("pivot"), F.col("shingles").alias("p"))
-    names = ["key", "doc_id", "g", "rest"]
+    names = ["key", "doc_id", "g", "rest", "lot"]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                keys, rests, gs, counts = [np.empty(0, dtype=U)], [np.empty(0, dtype=np.int64)], [], []
+                keys, rests, lots, gs, counts = [np.empty(0, dtype=U)], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=U)], [], []
                 for pivot, x, p in zip(part.column("pivot").to_pylist(), part.column("x"), part.column("p"), strict=True):
-                    g, changed, found = difference_prefixes(np.frombuffer(x.as_py(), dtype=U), np.frombuffer(p.as_py(), dtype=U), percent)
+                    x, p = np.frombuffer(x.as_py(), dtype=U), np.frombuffer(p.as_py(), dtype=U)
+                    g, changed, found = difference_prefixes(x, p, percent)
+                    added = (len(changed) + len(x) - len(p)) // 2
+                    lot = np.zeros(len(changed), dtype=U)
+                    lot[added:] = _mix(changed[added:]).sum(dtype=U) | U(1)
+                    rest = len(changed) - np.minimum(np.arange(len(changed)), added)
                     place = _mix(np.array([(pivot, one, two) for one, two, _ in found], dtype=np.int64).reshape(-1, 3).view(U))
                     place = _mix(_mix(place[:, 0] + place[:, 1] * U(3)) + place[:, 2])
                     sizes = [size for *_, size in found]
                     keys += [_mix(changed[:size] ^ here) for here, size in zip(place, sizes, strict=True)]
-                    rests += [len(changed) - np.arange(size) for size in sizes]
+                    rests += [rest[:size] for size in sizes]
+                    lots += [lot[:size] for size in sizes]
                     gs.append(g)
                     counts.append(sum(sizes))
                 ids, gs = (np.repeat(np.array(c, dtype=np.int64), counts) for c in (part.column("doc_id").to_numpy(), gs))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids), pa.array(gs), pa.array(np.concatenate(rests))], names)
+                columns = (np.concatenate(keys).view(np.int64), ids, gs, np.concatenate(rests), np.concatenate(lots).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    return stars.join(one, "doc_id").join(two, "pivot").mapInArrow(made, "key long, doc_id long, g long, rest long")
+    return stars.join(one, "doc_id").join(two, "pivot").mapInArrow(made, "key long, doc_id long, g long, rest long, lot long")
+
+
+def led(keyed: DataFrame) -> DataFrame:
+    """``(key, doc_id, g, rest, lead, wide)``: of two documents under a key, one must be a ``lead``; ``wide`` counts the leads.
+
+    Where the key's shingle is lacked, leads are the documents that add least of each lot; elsewhere all are.
+    """
+    lots = keyed.where("lot <> 0").groupBy("key", "lot").agg(F.min(F.struct("g", "doc_id")).alias("first"))
+    wide = lots.groupBy("key").agg(F.count(F.lit(1)).alias("lots"))
+    rows = keyed.join(lots.select("key", "lot", F.col("first.doc_id").alias("first")), ["key", "lot"], "left").join(wide, "key", "left")
+    return rows.select("key", "doc_id", "g", "rest", F.expr("lot = 0 OR doc_id = first").alias("lead"), F.coalesce("lots", "size").alias("wide"))
 
 
 def link(docs: DataFrame, *, percent: int = 75, few: int = 64, many: int = 512) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for each row of ``docs(doc_id, text)``.
 
-    Groups of up to ``few`` documents are compared pair by pair, and keys of differences of up to ``many`` where the place
-    of the shared shingle allows it.
+    Groups of up to ``few`` documents are compared pair by pair, and keys of differences with up to ``many`` leads lead by
+    member where the place of the shared shingle allows it.
     """
     if percent < 75:
         raise ValueError("prefixes are laid out for similarities of 0.75 and more")
@@ -333,11 +356,11 @@ def link(docs: DataFrame, *, percent: int = 75, few: int = 64, many: int = 512)
     labels = settle(weight.select("doc_id", F.col("doc_id").alias("component")))
 
     def compared(rows: DataFrame, on: str, allowed: str = "true") -> DataFrame:
-        """``labels`` after the pairs of ``rows(on, doc_id, ...)`` that have the same ``on``; columns of the second: _name."""
+        """``labels`` after the pairs of a lead and another of ``rows(on, doc_id, lead, ...)`` with the same ``on``; columns of the second: _name."""
         rows = rows.join(labels, "doc_id")
         other = rows.withColumnsRenamed({c: f"_{c}" for c in rows.columns if c != on})
-        pairs = rows.join(other, on).where(f"component <> _component AND doc_id < _doc_id AND {allowed}")
-        pairs = pairs.select(F.col("doc_id").alias("a"), F.col("_doc_id").alias("b")).distinct()
+        pairs = rows.where("lead").join(other, on).where(f"component <> _component AND (doc_id < _doc_id OR NOT _lead) AND {allowed}")
+        pairs = pairs.select(F.least("doc_id", "_doc_id").alias("a"), F.greatest("doc_id", "_doc_id").alias("b")).distinct()
         return merged(labels, similar(pairs, sets, percent))
 
     keyed = kept
@@ -349,15 +372,15 @@ def link(docs: DataFrame, *, percent: int = 75, few: int = 64, many: int = 512)
         labels = merged(labels, similar(across(pairs, labels).select("a", "b"), sets, percent))
         groups = stars.join(labels, "doc_id").groupBy("pivot").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
         members = settle(stars.join(groups.where("low < high").select("pivot", "size"), "pivot"))
-        labels = compared(members.where(F.col("size") <= few).select("pivot", "doc_id"), "pivot")
+        labels = compared(members.where(F.col("size") <= few).select("pivot", "doc_id", F.lit(True).alias("lead")), "pivot")
         large = members.where(F.col("size") > few).select("pivot", "doc_id")
         if large.isEmpty():
             break
         postings = settle(difference_keys(large, sets, percent))
         keys = postings.join(labels, "doc_id").groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-        keyed = settle(postings.join(keys.where("low < high").select("key", "size"), "key"))
-        labels = compared(keyed.where(F.col("size") <= many).select("key", "doc_id", "g", "rest"), "key", f"g + _g <= {2 * (100 + percent)} * least(rest, _rest)")
-        keyed = keyed.where(F.col("size") > many).select("key", "doc_id")
+        keyed = settle(led(settle(postings.join(keys.where("low < high").select("key", "size"), "key"))))
+        labels = compared(keyed.where(F.col("wide") <= many).drop("wide"), "key", f"g + _g <= {2 * (100 + percent)} * least(rest, _rest)")
+        keyed = keyed.where(F.col("wide") > many).select("key", "doc_id")
         if keyed.isEmpty():
             break
     out = named.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left")
