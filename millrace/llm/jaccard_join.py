@@ -22,9 +22,9 @@ link when ``100 * intersection >= 75 * union``; the result names each document's
    least of each lot of members which lack the same of p: if x and y link and add nothing in common, then x links with
    the first of y's lot (no larger than y, and with as much of p in common), y with the first of x's, and these two
    with each other. So texts that have only a passage in common, all of which lack the rest of p, cost one comparison
-   each. Keys of very many members (lacked: lots) go to a pivot again. No large group is expanded into
-   all its pairs and nothing is capped. A key's pivot comes before its other members in one fixed order, so
-   pivots move on and the rounds end. Pairs are verified exactly.
+   each. Keys of very many members (lacked: lots) go to a pivot again. Nothing is capped. A key's pivot comes before its
+   other members in one fixed order, so pivots move on, and each round takes keys of twice as many members by pairs,
+   so the rounds are few even where no pivot settles much. Pairs are verified exactly.
 
 Defined results: null, empty and blank texts have an empty set and their own component; rows with one id
 are one node; a null id is a node that comes last; an empty table gives an empty result.
@@ -335,7 +335,7 @@ def link(docs: DataFrame, *, percent: int = 75, few: int = 64, many: int = 512)
     """``(doc_id, n_shingles, component_id)`` for each row of ``docs(doc_id, text)``.
 
     Groups of up to ``few`` documents are compared pair by pair, and keys of differences with up to ``many`` leads lead by
-    member where the place of the shared shingle allows it.
+    member where the place of the shared shingle allows it; ``many`` doubles with each round.
     """
     if percent < 75:
         raise ValueError("prefixes are laid out for similarities of 0.75 and more")
@@ -383,5 +383,6 @@ def link(docs: DataFrame, *, percent: int = 75, few: int = 64, many: int = 512)
         keyed = keyed.where(F.col("wide") > many).select("key", "doc_id")
         if keyed.isEmpty():
             break
+        many *= 2  # rounds that settle little are as many as the doublings up to the largest key, not as its members
     out = named.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left")
     return out.select(F.nullif("doc_id", none).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif(F.coalesce("component", "rep"), none).alias("component_id"))
