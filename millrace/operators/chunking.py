@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import TABLE_LINE, estimate_tokens, is_table_text
+from ..functions.text import TABLE_LINE, estimate_tokens, is_separator, is_table_text
 
 MAX_TEXT_TOKENS, TABLE_ROWS, CHARS_PER_TOKEN = 2048, 80, 4
+#: Slices in which the rows of sheets are numbered side by side.
+SLICES = 64
 
 
 def usable_tokens(context_window: int) -> int:
@@ -87,6 +89,44 @@ def table_blocks(text: Column, rows: int = TABLE_ROWS) -> Column:
     return F.udf(lambda x: None if x is None else split_table(x, rows), "array<string>", useArrow=True)(text)
 
 
+def _slice_of(x: Column, bounds: list[float], first: int = 0) -> Column:
+    """How many of the sorted ``bounds`` are at most ``x``, by bisection; null counts none."""
+    if not bounds:
+        return F.lit(first)
+    k = len(bounds) // 2
+    return F.when(x >= bounds[k], _slice_of(x, bounds[k + 1 :], first + k + 1)).otherwise(_slice_of(x, bounds[:k], first))
+
+
+def row_blocks(table: DataFrame, keys: list[str], order: list[str], line: Column, head: str, rows: int = TABLE_ROWS) -> DataFrame:
+    """``(keys, block, piece)``: the blocks of :func:`split_table` for each sheet of ``table``, whose rows give one ``line`` each.
+
+    ``head`` is what stands above the rows, header and separator last. No sheet is put together: rows are numbered within
+    slices of their sheet, cut at quantiles of the first of ``order`` (a number), and a slice starts where those before it
+    end. Only a sheet all of separators is one piece, as it has nothing to cut.
+    """
+    probabilities = [i / SLICES for i in range(1, SLICES)]
+    bounds = sorted(set(table.approxQuantile(order[0], probabilities, 0.25 / SLICES)))
+    kept = table.select(*keys, *order, line.alias("_line"), _slice_of(F.col(order[0]), bounds).alias("_slice")).withColumn("_data", ~is_separator(F.col("_line")))
+    sheet = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))])
+    counts = kept.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_slice").alias("_s")).agg(F.count_if("_data").alias("_n"))
+    before = sheet.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumns({"_start": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_total": F.sum("_n").over(sheet)}).drop("_n")
+    here = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = kept.withColumns({"_row": F.row_number().over(here), "_nth": F.count_if("_data").over(here)})
+    same = F.col("_slice") == F.col("_s")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    placed = placed.join(starts, same).where("_data OR _total = 0")
+    block = F.when(F.col("_total") > 0, F.floor((F.col("_start") + F.col("_nth") - 1) / rows)).otherwise(0).cast("int")
+    parts = F.sort_array(F.collect_list(F.struct("_slice", "_row", "_line")))
+    blocks = placed.groupBy(*keys, block.alias("block")).agg(F.array_join(F.transform(parts, lambda x: x["_line"]), "\n").alias("_body"), F.first("_total").alias("_total"))
+    lines = head.splitlines()
+    title = "\n".join(lines[:-2]) + "\n\n" if len(lines) > 2 else ""
+    frame = "\n".join(lines[-2:]) + "\n"
+    above = F.when(F.col("_total") == 0, head).when(F.col("block") == 0, title + frame).otherwise(frame)
+    return blocks.select(*keys, "block", F.concat(above, "_body", F.lit("\n")).alias("piece"))
+
+
 def segments(pages: DataFrame, max_tokens: int, overlap: float) -> DataFrame:
     """``(job_id, page_index, part, is_table, text, tokens)`` of ``pages(job_id, page_index, text)``."""
     text = F.col("text")

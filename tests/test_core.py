@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import compare, hashing, json_records, text
 from millrace.operators import chunking, extraction, jobs, preflight, scoring, telemetry
+from millrace.plans.queries import QUERIES
 from millrace.sources import documents, records
 from millrace.streaming import events
 
@@ -114,6 +115,30 @@ def test_table_chunks_come_last(spark):
     assert chunking.split_table("| a |\n| 1 |\n| 2 |\n| b |\n") == ["| a |\n| 1 |\n| b |\n"]  # digits alone look like a separator
 
 
+def test_row_blocks_agree_with_split_table(spark):
+    """Blocks of rows are those of the whole sheet's text: separators dropped, a sheet of nothing else whole, null and negative keys."""
+    cells = lambda s, i: ["7", "-", None][i % 3] if s == "digits" or i % 5 == 0 else f"r{i}|"
+    rows = [(s, None if s is None and i == 0 else (i * 37) % n - 20, i, cells(s, i)) for s, n in (("a", 500), (None, 90), ("digits", 170), ("one", 1), ("b", 2)) for i in range(n)]
+    head = "# Sheet\n\n| k | v |\n| --- | --- |\n"
+    line = text.markdown_row(F.array(F.col("k").cast("string"), F.col("v")))
+    table = spark.createDataFrame(rows, "sheet string, k int, i int, v string").repartition(7)
+    got = {(r.sheet, r.block): r.piece for r in chunking.row_blocks(table, ["sheet"], ["k", "i"], line, head).collect()}
+    sheets = table.select("sheet", "k", "i", line.alias("line")).collect()
+    want = {}
+    for sheet in {r.sheet for r in sheets}:
+        lines = [r.line for r in sorted((r for r in sheets if r.sheet == sheet), key=lambda r: (r.k is not None, r.k or 0, r.i))]
+        want |= {((sheet, n)): piece for n, piece in enumerate(chunking.split_table(head + "\n".join(lines) + "\n"))}
+    assert got == want and len(got) > 8
+    assert chunking.row_blocks(table.limit(0), ["sheet"], ["k", "i"], line, head).count() == 0
+
+
+def test_table_blocks_puts_no_sheet_together(spark, sf):
+    """Neither a sheet's rows nor their numbers meet in one task: windows are parted by slices, too, and no plan runs Python."""
+    plan = QUERIES["table_blocks"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if "Window [row_number" in x]
+    assert windows and all("_slice" in x for x in windows) and "PythonUDF" not in plan and "ArrowEval" not in plan
+
+
 def test_page_specs():
     assert preflight.parse_pages_spec("1,3-5,10") == {1, 3, 4, 5, 10} and preflight.parse_pages_spec(" 1 , 2 ") == {1, 2} and preflight.parse_pages_spec(" ") is None
     assert preflight.resolve_pages("2-3", 3) == {1, 2}
