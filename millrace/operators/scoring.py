@@ -54,16 +54,26 @@ def accuracy(match: Column) -> Column:
 def resolve_ranges(asked: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
     """``(key, range_id, reason, chunk_index)``: chunks within the asked pages, else chunks that hold them all.
 
-    ``asked(key, range_id, pages)`` joins ``chunks(key, chunk_index, chunk_pages)`` on ``key`` first.
+    ``asked(key, range_id, pages)`` meets ``chunks(key, chunk_index, chunk_pages)`` page by page and not range by chunk: the
+    pages that both have are counted, and a side of which all are counted lies within the other. Chunks of the same pages
+    are one row with their number. No pages at all lie within every chunk that has some.
     """
-    pairs = asked.join(chunks, key, "left")
-    inside = F.size(F.array_except("chunk_pages", "pages")) == 0
-    holds = F.size(F.array_except("pages", "chunk_pages")) == 0
-    has = F.size("chunk_pages") > 0
-    agg = pairs.groupBy(key, "range_id").agg(
-        F.count_if(inside & has).alias("n1"), F.min(F.when(inside & has, F.col("chunk_index"))).alias("c1"),
-        F.count_if(holds & has).alias("n2"), F.min(F.when(holds & has, F.col("chunk_index"))).alias("c2"),
+    sets = chunks.where(F.size("chunk_pages") > 0).groupBy(key, F.array_sort(F.array_distinct("chunk_pages")).alias("_set")).agg(F.count(F.lit(1)).alias("_n"), F.min("chunk_index").alias("_c"))
+    ranges = asked.where(F.size("pages") > 0).select(key, "range_id", F.array_sort(F.array_distinct("pages")).alias("_set"))
+    # ids may repeat with other pages: the place among those tells them apart
+    place = lambda c: F.row_number().over(Window.partitionBy(key, c).orderBy("_set"))
+    a = ranges.withColumn("_a", place("range_id")).select(key, "range_id", "_a", F.size("_set").alias("_asked"), F.explode("_set").alias("_page")).alias("a")
+    b = sets.withColumn("_b", place("_c")).select(key, "_c", "_b", "_n", F.size("_set").alias("_held"), F.explode("_set").alias("_page")).alias("b")
+    met = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & F.col("a._page").eqNullSafe(F.col("b._page"))).groupBy(F.col(f"a.{key}").alias(key), "range_id", "_a", "_c", "_b")
+    met = met.agg(F.count(F.lit(1)).alias("_both"), F.max("_asked").alias("_asked"), F.max("_held").alias("_held"), F.max("_n").alias("_n"))
+    inside, holds = F.col("_both") == F.col("_held"), F.col("_both") == F.col("_asked")
+    fits = met.where(inside | holds).select(
+        key, "range_id", F.when(inside, F.col("_n")).alias("n1"), F.when(inside, F.col("_c")).alias("c1"), F.when(holds, F.col("_n")).alias("n2"), F.when(holds, F.col("_c")).alias("c2")
     )
+    every = sets.groupBy(key).agg(F.sum("_n").alias("n2"), F.min("_c").alias("c2"))
+    empty = asked.where(F.size("pages") == 0).select(key, "range_id").join(every, key)
+    agg = asked.select(key, "range_id").unionByName(fits, allowMissingColumns=True).unionByName(empty, allowMissingColumns=True).groupBy(key, "range_id")
+    agg = agg.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("n1", "n2")], *[F.min(c).alias(c) for c in ("c1", "c2")])
     n = F.when(F.col("n1") > 0, F.col("n1")).otherwise(F.col("n2"))
     c = F.when(F.col("n1") > 0, F.col("c1")).otherwise(F.col("c2"))
     reason = F.when(n == 0, "page_range_unresolved").when(n > 1, "page_range_ambiguous").otherwise("resolved")

@@ -2,6 +2,8 @@
 
 import io
 import json
+import random
+import re
 import zipfile
 import zlib
 
@@ -139,6 +141,32 @@ def test_table_blocks_puts_no_sheet_together(spark, sf):
     assert windows and all("_slice" in x for x in windows) and "PythonUDF" not in plan and "ArrowEval" not in plan
 
 
+def test_ranges_agree_with_brute_force(spark):
+    """Random and odd sets of pages: empty, null, with null or repeated pages, ids that repeat, keys that are null or have no chunk."""
+    rng = random.Random(5)
+    pages = lambda: rng.choice([None, [], [None, 1]]) if rng.random() < 0.15 else [rng.randrange(6) for _ in range(rng.randrange(1, 5))]
+    asked = [(rng.choice(["a", "b", "c", None]), rng.choice([None, *range(40)]), pages()) for _ in range(150)] + [("one", i, p) for i, p in enumerate([[], [4], [4, 5], [5], None])]
+    chunks = [(rng.choice(["a", "b", None]), rng.choice([None, *range(12)]), pages()) for _ in range(30)] + [("one", 3, [4, 4]), ("one", 9, [])]
+    want = {}
+    for key, range_id in {x[:2] for x in asked}:
+        tried = [(set(p), set(q), c) for k, r, p in asked if (k, r) == (key, range_id) and p is not None for l, c, q in chunks if l == key and key is not None and q]
+        inside, holds = [c for p, q, c in tried if q <= p], [c for p, q, c in tried if p <= q]
+        fits = inside or holds
+        want[key, range_id] = ("resolved", fits[0]) if len(fits) == 1 else ("page_range_ambiguous" if fits else "page_range_unresolved", None)
+    a, b = spark.createDataFrame(asked, "k string, range_id int, pages array<int>"), spark.createDataFrame(chunks, "k string, chunk_index int, chunk_pages array<int>")
+    got = scoring.resolve_ranges(a, b, "k").collect()
+    assert {(r.k, r.range_id): (r.reason, r.chunk_index) for r in got} == want and len(got) == len(want) and len({x[0] for x in want.values()}) == 3
+
+
+def test_ranges_meet_chunks_by_page(spark):
+    """No range is paired with every chunk of its fixture: only a range without pages joins on the fixture alone, with one row."""
+    asked = spark.range(9).selectExpr("'f' AS k", "id AS range_id", "array(int(id)) AS pages")
+    chunks = spark.range(9).selectExpr("'f' AS k", "id AS chunk_index", "array(int(id)) AS chunk_pages")
+    plan = scoring.resolve_ranges(asked, chunks, "k")._jdf.queryExecution().analyzed().toString()
+    joins = [x for x in plan.splitlines() if "Join " in x]
+    assert sum("_page" in x for x in joins) == 1 and len(joins) == 2 and re.search(r"Filter \(size\(pages#\d+, \w+\) = 0\)", plan)
+
+
 def test_page_specs():
     assert preflight.parse_pages_spec("1,3-5,10") == {1, 3, 4, 5, 10} and preflight.parse_pages_spec(" 1 , 2 ") == {1, 2} and preflight.parse_pages_spec(" ") is None
     assert preflight.resolve_pages("2-3", 3) == {1, 2}
