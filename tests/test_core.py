@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import compare, hashing, json_records, text
-from millrace.operators import chunking, extraction, jobs, preflight, scoring, telemetry
+from millrace.operators import chunking, evaluation, extraction, jobs, preflight, scoring, telemetry
 from millrace.plans.queries import QUERIES
 from millrace.sources import documents, records
 from millrace.streaming import events
@@ -167,6 +167,18 @@ def test_ranges_meet_chunks_by_page(spark):
     assert sum("_page" in x for x in joins) == 1 and len(joins) == 2 and re.search(r"Filter \(size\(pages#\d+, \w+\) = 0\)", plan)
 
 
+def test_fields_of_one_large_fixture(spark):
+    """Expectations by page in one fixture find their chunks page by page, and their fields are compared."""
+    wanted = spark.range(400).selectExpr("'f' AS fixture", "id AS exp_id", "'positive' AS label", "true AS allow_empty", "CAST(NULL AS bigint) AS chunk_index", "array(int(id), int(id) + 1) AS pages")
+    given = spark.range(400).selectExpr("'f' AS fixture", "id AS chunk_index", "concat('[{\"v\":', id, '}]') AS record_json", "true AS validation_passed", "if(id % 2 = 0, concat(id, ',', id + 1), concat(id, ',900')) AS source_pages", "1 AS seq")
+    own = spark.range(400).selectExpr("'f' AS fixture", "id AS exp_id", "CAST(NULL AS bigint) AS chunk_index", "concat('{\"v\":', if(id % 4 = 0, -1, id), '}') AS golden_json")
+    verdicts, fields = evaluation.score(wanted, given, (own.limit(0), own, own.limit(0)))
+    assert re.search(r"_page#\d+ <=> _page#\d+", fields._jdf.queryExecution().analyzed().toString())
+    assert {(r.exp_id, r.field, r.match) for r in fields.collect()} == {(i, "v", "mismatch" if i % 4 == 0 else "exact") for i in range(0, 400, 2)}
+    assert {(r.reason, r.n) for r in verdicts.groupBy("reason").agg(F.count("*").alias("n")).collect()} == {("page_range_unresolved", 200), ("match", 100), ("field_mismatch", 100)}
+    spark.catalog.clearCache()
+
+
 def test_page_specs():
     assert preflight.parse_pages_spec("1,3-5,10") == {1, 3, 4, 5, 10} and preflight.parse_pages_spec(" 1 , 2 ") == {1, 2} and preflight.parse_pages_spec(" ") is None
     assert preflight.resolve_pages("2-3", 3) == {1, 2}
